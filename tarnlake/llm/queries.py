@@ -8,14 +8,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnlake.llm import bpe, fingerprints, languages, token_counts, toxicity, urls, wavelet
+from tarnlake.llm import bpe, decontaminate, fingerprints, languages, sanitize, token_counts, toxicity, urls, wavelet
 from tarnlake.llm.shared import read
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("items")
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_pairs(read(spark, sf_dir, "documents"))
 
 
+def op4_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sanitize.digests(sanitize.find(read(spark, sf_dir, "documents")))
+
+
 def op5_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.train_and_score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -44,7 +52,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_decontaminate": op2_decontaminate,
     "op3_fingerprints": op3_fingerprints,
+    "op4_sanitize": op4_sanitize,
     "op5_toxicity_cnn": op5_toxicity_cnn,
     "op6_language_bitmask": op6_language_bitmask,
     "op7_wavelet_matrix": op7_wavelet_matrix,
@@ -53,4 +63,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_decontaminate": decontaminate.ORACLE_SQL,
+}
