@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnlake.llm import bpe, decontaminate, fingerprints, languages, sanitize, token_counts, toxicity, urls, wavelet
+from tarnlake.llm import bpe, decontaminate, fingerprints, jaccard, languages, sanitize, token_counts, toxicity, urls, wavelet
 from tarnlake.llm.shared import read
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_classes(read(spark, sf_dir, "documents"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("items")
 
@@ -52,6 +56,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_decontaminate": op2_decontaminate,
     "op3_fingerprints": op3_fingerprints,
     "op4_sanitize": op4_sanitize,
@@ -64,5 +69,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_ngram_jaccard": jaccard.ORACLE_SQL,
     "op2_decontaminate": decontaminate.ORACLE_SQL,
 }
