@@ -27,6 +27,7 @@ import os
 import re
 import struct
 import uuid
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -37,6 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tarnlake.llm.bpe import byte_alphabet
 from tarnlake.llm.shared import by_shard, column, materialize, maybe_broadcast, ordered_shards, prepare, shared_dir, slices, texts
 
 MAGIC = b"WMX1"
@@ -214,12 +216,19 @@ class LibraryEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.alphabet = byte_alphabet()
         self.known: dict[str, bytes] = {"": b""}
 
     def _library(self, items: list[str]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast(items, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in got]
 
+    def _merge(self, word: str) -> bytes:
+        """A lower-case run of letters needs the library's merges only."""
+        if not word.isascii():
+            word = "".join(map(self.alphabet.__getitem__, word.encode()))
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(word)]).tobytes()
+
     def encode(self, batch: list[str]) -> list[bytes]:
         known, rows, need = self.known, [], set()
         for t in batch:
@@ -232,8 +241,11 @@ class LibraryEncoder:
             need.update([parts[i] for i in holes])
             rows.append((parts, ids, holes))
         plain = {c: (m[1].lower(), m[2]) for c in need if (m := self.PLAIN.fullmatch(c))}
-        fresh = [*(need - plain.keys()).union(*plain.values()).difference(known)]
+        letters = {w for w, _ in plain.values()}.difference(known)
+        fresh = [*(need - plain.keys()).union([mark for _, mark in plain.values()]).difference(known, letters)]
         known.update(zip(fresh, self._library(fresh), strict=True))
+        known.update([(w, self._merge(w)) for w in letters])
+        fresh += letters
         known.update([(c, known[w] + known[mark]) for c, (w, mark) in plain.items()])
         fresh += [c for c, (w, mark) in plain.items() if mark or w != c]
         out = []
