@@ -284,11 +284,12 @@ def _oriented(edges: DataFrame) -> DataFrame:
     return edges.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, n: int = N, recall: float = RECALL) -> DataFrame:
-    """``doc_id, class_id, n_links, n_copies`` of every document.
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, n: int = N, recall: float = RECALL) -> DataFrame:
+    """``doc_id, place, group, class_id, n_links, n_copies`` of every document.
 
-    class_id: the smallest doc_id linked to it directly or by others; n_links: the other
-    documents of at least the threshold's similarity; n_copies: those with the same n-gram set.
+    place: xxhash64 of (doc_id, text), which names a row's content; group: the group's key, null
+    without words; class_id: the smallest doc_id linked to it directly or by others; n_links: the
+    other documents of at least the threshold's similarity; n_copies: those with the same n-gram set.
     """
     prepare(docs.sparkSession)
     bands, rows = choose_bands(threshold, recall)
@@ -302,18 +303,26 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = components(links.select(F.col("set_key").alias("a"), F.col("root").alias("b")))
     counted = links.groupBy("set_key").agg(F.sum("links").alias("links"))
     rooted = classes.select("set_key", "weight", "least").join(found.withColumnRenamed("node", "set_key"), "set_key", "left")
-    rooted = rooted.join(counted, "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("class_id"))
-    per_class = rooted.join(least, "root").select("set_key", "class_id", (F.col("weight") - 1).alias("n_copies"), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    joined = signed.select("doc_id", "set_key").join(per_class, "set_key", "left")
+    rooted = rooted.join(counted, "set_key", "left").withColumn("group", F.coalesce("root", "set_key"))
+    least = rooted.groupBy("group").agg(F.min("least").alias("class_id"))
+    links_here = (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
+    per_class = rooted.join(least, "group").select("set_key", "group", "class_id", (F.col("weight") - 1).alias("n_copies"), links_here)
+    joined = signed.select("doc_id", "place", "set_key").join(per_class, "set_key", "left")
     return joined.select(
         "doc_id",
+        "place",
+        "group",
         F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("n_copies", F.lit(0)).cast("long").alias("n_copies"),
     )
 
 
+def jaccard_classes(docs: DataFrame, **how) -> DataFrame:
+    """``doc_id, class_id, n_links, n_copies`` of every document; see ``groups``."""
+    return groups(docs, **how).drop("place", "group")
+
+
 #: DuckDB: exact n-gram sets, all links, and components by repeated neighbour minima.
 ORACLE_SQL = r"""
 WITH RECURSIVE dw AS (
