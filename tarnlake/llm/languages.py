@@ -82,6 +82,17 @@ def grams(batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return hashes[order], owners[order]
 
 
+def _gram_counts(batch: list[str], step: int = 100) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams of the texts and how often each occurs, ``step`` texts at a time to bound memory."""
+    values, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for at in range(0, len(batch), step):
+        v, c = np.unique(grams(batch[at : at + step])[0], return_counts=True)
+        every, inverse = np.unique(np.concatenate([values, v]), return_inverse=True)
+        counts = np.bincount(inverse, weights=np.concatenate([counts, c]), minlength=len(every)).astype(np.int64)
+        values = every
+    return values, counts
+
+
 class LanguageFilters:
     """Bit-sliced Bloom filters, one bit per language."""
 
@@ -109,8 +120,7 @@ class LanguageFilters:
         languages = sorted(set(labels))
         each = []
         for lang in languages:
-            h, _ = grams([t for t, x in zip(batch, labels, strict=True) if x == lang])
-            values, counts = np.unique(h, return_counts=True)
+            values, counts = _gram_counts([t for t, x in zip(batch, labels, strict=True) if x == lang])
             each.append((values, counts / max(1, counts.sum()), counts))
         every = np.unique(np.concatenate([v for v, _, _ in each])) if each else np.zeros(0, np.uint64)
         top = np.zeros(len(every))
