@@ -17,6 +17,7 @@ row; other columns are ignored; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,8 +30,13 @@ from pyspark.sql import functions as F
 from tarnlake.llm.shared import column, materialize, prepare, slices, texts
 
 _MARK = "▁"
-HOT_SIZE = 150_000  #: most rows of the broadcast half
-HOT_SAMPLE = 8_000  #: documents looked at to choose it; no effect on any count
+HOT_SIZE = 200_000  #: most rows of the broadcast half
+HOT_SAMPLE = 12_000  #: documents looked at to choose it; no effect on any count
+
+
+#: A mark after a letter and before a space or the end, where no piece joins letter and mark.
+_LETTER = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]"
+_MARKS = re.compile(rf"(?<={_LETTER})[.,](?= |\Z)")
 
 
 class Pieces:
@@ -41,7 +47,25 @@ class Pieces:
         size = self.model.get_piece_size()
         if any(_MARK in self.model.id_to_piece(i).lstrip(_MARK) for i in range(size)):
             raise ValueError("the vocabulary has pieces that continue across a space; pre-tokens would not be independent")
-        self.lone_space = len(self.model.encode("a ")) - len(self.model.encode("a"))
+        self.lone_space = self._after("a", " ")
+        #: pieces of a mark that ends a word; 0 if pieces may join them, so that marks stay with their words
+        self.mark = self._after("a", ".")
+        joined = re.compile(rf"{_LETTER}[.,]")
+        if self._after("a", ",") != self.mark or any(joined.search(self.model.id_to_piece(i)) for i in range(size) if not self.model.is_byte(i)):
+            self.mark = 0
+
+    def _after(self, before: str, more: str) -> int:
+        return len(self.model.encode(before + more)) - len(self.model.encode(before))
+
+    def split(self, text: str) -> tuple[list[str], int]:
+        """A text's pre-tokens, and the pieces of the marks taken off their ends."""
+        if not text:
+            return [], 0
+        text = text.replace(_MARK, " ")
+        marks = 0
+        if self.mark:
+            text, marks = _MARKS.subn("", text)
+        return pre_tokens(text), marks * self.mark
 
     def count(self, units: list[str]) -> list[int]:
         encoded = self.model.encode(units, num_threads=1)
@@ -50,9 +74,7 @@ class Pieces:
 
 def pre_tokens(text: str) -> list[str]:
     """What follows each space mark of the normalised text; a run of marks stays with its word."""
-    if not text:
-        return []
-    parts = text.replace(_MARK, " ").split(" ")
+    parts = text.split(" ")
     if "" not in parts:
         return parts
     out, run = [], 0
@@ -86,10 +108,11 @@ def _frequent(docs: DataFrame, model_path: str, sample: int, size: int) -> dict[
     """Piece counts of at most ``size`` pre-tokens that repeat within a sample of about ``sample`` documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = pieces(model_path)
         for b in slices(batches):
             seen = Counter()
             for t in texts(b):
-                seen.update(pre_tokens(t))
+                seen.update(model.split(t)[0])
             yield pa.record_batch([pa.array([*seen], pa.string()), pa.array([*seen.values()], pa.int64())], names=["unit", "f"])
 
     rows = docs.count()
@@ -112,13 +135,14 @@ def token_counts(
     hot = spark.sparkContext.broadcast(_frequent(docs, model_path, hot_sample, hot_size))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = hot.value
+        known, model = hot.value, pieces(model_path)
         for b in slices(batches):
             base, units, times = [], [], []
             for t in texts(b):
-                freq = Counter(pre_tokens(t))
+                units_here, total = model.split(t)
+                freq = Counter(units_here)
                 counts = [*map(known.get, freq)]
-                total, cold, cold_f = 0, [], []
+                cold, cold_f = [], []
                 for u, f, n in zip(freq, freq.values(), counts, strict=True):
                     if n is None:
                         cold.append(u)
