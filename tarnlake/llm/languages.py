@@ -163,7 +163,7 @@ class LanguageFilters:
 
 
 def training_sample(rows: DataFrame, max_rows: int) -> list:
-    """At most ``max_rows`` rows of ``text, label``, evenly over labels, chosen by the hash of the text."""
+    """At most ``max_rows`` different ``text, label`` rows (and the least of other columns), evenly over labels, chosen by the hash of the text."""
     counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return []
@@ -172,7 +172,9 @@ def training_sample(rows: DataFrame, max_rows: int) -> list:
     place = F.pmod(F.xxhash64("text"), F.lit(1_000_000))
     for label, n in counts.items():
         pick = pick | ((F.col("label") == label) & (place < int(1_000_000 * min(1.0, each / n))))
-    return rows.filter(pick).orderBy(F.xxhash64("text"), "text", "label").limit(max_rows).collect()
+    more = [F.min(c).alias(c) for c in rows.columns if c not in ("text", "label")]
+    some = rows.filter(pick).groupBy("text", "label").agg(F.count("*").alias("copies"), *more)  # copies of a text count once
+    return some.orderBy(F.xxhash64("text"), "text", "label").limit(max_rows).collect()
 
 
 def train(labelled: DataFrame, max_rows: int = MAX_TRAINING) -> LanguageFilters:
