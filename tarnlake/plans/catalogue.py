@@ -11,6 +11,7 @@ from tarnlake.functions.predicates import Expr, Op, and_, cmp, col, compile_valu
 from tarnlake.operators.relational import SortKey, filter_rows, first_per_key, index_entries, index_scan, lookup_many, merge_join, range_scan, row_count, sort_rows, with_rid
 from tarnlake.plans import recovery
 from tarnlake.sources.log import RecordType
+from tarnlake.sources.staging import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,16 +26,18 @@ def scan_in_order(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def ranked(df: DataFrame, keys: list[SortKey]) -> DataFrame:
-    """A sorted result whose order shows in ``rank``: numbered within the sort's partitions, which are then chained.
+    """A sorted result whose order shows in ``rank``: places within the sort's partitions, chained by their sizes.
 
-    A row number over the whole table in one window would be a single task.
+    A row number over the whole table in one window would be a single task.  The sorted rows are
+    staged once, because two evaluations of a range exchange need not cut alike.
     """
-    ordered = sort_rows(df, keys)
-    window = Window.partitionBy("_part").orderBy(*[F.asc(c) if k.ascending else F.desc(c) for k in keys for c in [ordered.columns[k.ordinal]]])
-    parts = ordered.withColumn("_part", F.spark_partition_id())
-    sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    return parts.withColumn("_row", F.row_number().over(window)).join(F.broadcast(before), "_part").select(*df.columns, (F.col("_before") + F.col("_row")).cast("long").alias("rank"))
+    place = F.monotonically_increasing_id()  # partition number, then the row's place in it
+    staged = materialize(sort_rows(df, keys).withColumn("_id", place), "ranked")
+    staged = staged.withColumn("_part", F.shiftright("_id", 33))
+    sizes = staged.groupBy("_part").agg(F.count("*").alias("_n"))  # one row per partition of the sort
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    row = F.col("_id") - F.shiftleft("_part", 33) + 1
+    return staged.join(F.broadcast(sizes.select("_part", before.alias("_before"))), "_part").select(*df.columns, (F.col("_before") + row).cast("long").alias("rank"))
 
 
 # -- the log that orders and line items stand for -------------------------------
