@@ -7,11 +7,7 @@ parameter of the operator.
 
 from __future__ import annotations
 
-import atexit
 import os
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnlake.sources.staging import materialize, shared_dir  # noqa: F401  operators import them from here
+
 #: The repository, so that Python workers started elsewhere can import the package.
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -36,31 +34,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A new folder name inside ``spark.checkpoint.dir``, which driver and executors share.
-
-    Only where that setting is absent (tests on one machine) a local folder is set.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="tarnlake-")
-        atexit.register(shutil.rmtree, root, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, purpose: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, which cuts its lineage.
-
-    Losing an executor afterwards costs nothing, and a value that several plans
-    use is computed once.
-    """
-    spark = df.sparkSession
-    path = shared_dir(spark, purpose)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def maybe_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     """Mark ``df`` for broadcast only if it was counted to have at most ``max_rows`` rows."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
