@@ -106,7 +106,7 @@ def signatures(docs: DataFrame, bands: int, rows: int, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = MinHash(bands, rows)
-        for b in slices(batches, chars=2_000_000):
+        for b in slices(batches, chars=500_000):
             sets = gram_sets(texts(b), n)
             sign = [hasher.band_hashes(s).astype(np.int64).tolist() if len(s) else None for s in sets]
             yield pa.record_batch(
@@ -121,7 +121,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """``set_key, sets`` of the rows of ``docs`` at the places in ``wanted``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, chars=2_000_000):
+        for b in slices(batches, chars=500_000):
             sets = gram_sets(texts(b), n)
             yield pa.record_batch([pa.array([set_key(s) for s in sets], pa.binary()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], names=["set_key", "sets"])
 

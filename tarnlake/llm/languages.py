@@ -190,7 +190,7 @@ def identify(docs: DataFrame, model: LanguageFilters, id_col: str = "doc_id", te
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, chars=2_000_000):
+        for b in slices(batches, chars=500_000):
             lang, score, _ = shared.value.predict(texts(b))
             yield pa.record_batch([b.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 

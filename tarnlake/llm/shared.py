@@ -20,13 +20,18 @@ from tarnlake.sources.staging import materialize, shared_dir  # noqa: F401  oper
 #: The repository, so that Python workers started elsewhere can import the package.
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 1000
+
 
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package when it runs from a source tree."""
+    """Let Python workers import this package when it runs from a source tree, and bound their Arrow batches."""
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if _ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([_ROOT, *paths])
+    if int(spark.conf.get(_BATCH_ROWS)) > BATCH_ROWS:  # whole texts are large rows
+        spark.conf.set(_BATCH_ROWS, str(BATCH_ROWS))
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -91,7 +96,7 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [t or "" for t in column(batch, name)]
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, chars: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Cut incoming Arrow batches so that one holds at most ``rows`` rows and about ``chars`` bytes of buffers.
 
     Whole rows only; a single row larger than ``chars`` is a batch of its own.
