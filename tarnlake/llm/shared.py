@@ -49,25 +49,34 @@ def crc32_mod(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+MAX_REGIONS = 256  #: quantile bounds of ordered_shards
+MAX_PARTS = 128  #: equal-width parts of a region
+
+
 def ordered_shards(df: DataFrame, key: str, bytes_per_shard: int, size: Column) -> tuple[DataFrame, int]:
-    """Add ``_shard``: contiguous ranges of ``key`` holding about ``bytes_per_shard`` each.
+    """Add ``_shard``: contiguous ranges of an integer ``key`` holding about ``bytes_per_shard`` each.
 
-    The bounds come from approximate quantiles of ``key`` (one number per shard
-    reaches the driver).  Null keys go to shard 0.  Rows with equal keys share
-    a shard.  Returns the frame and the number of shards.
+    Quantiles of the key cut at most ``MAX_REGIONS`` regions of like size, and equal widths
+    cut each into at most ``MAX_PARTS``; so the driver receives few numbers whatever the
+    input, and beyond their product shards grow instead (they are read as streams).
+    Null keys go to shard 0.  Rows with equal keys share a shard.  Returns the frame
+    and the number of shards.
     """
-    total, count = df.agg(F.sum(size), F.count(F.col(key))).first()
-    shards = max(1, -(-int(total or 0) // bytes_per_shard))
-    bounds: list = []
-    if count and shards > 1:
-        probs = [i / shards for i in range(1, shards)]
-        # one level of exactness finer than a shard, so that shards come out even
-        accuracy = max(10_000, 20 * shards)
-        got = df.agg(F.percentile_approx(F.col(key), probs, accuracy)).first()[0] or []
-        bounds = sorted(set(got))
-    if not bounds:
+    total, count, least, most = df.agg(F.sum(size), F.count(F.col(key)), F.min(key), F.max(key)).first()
+    wanted = max(1, -(-int(total or 0) // bytes_per_shard))
+    if not count or wanted == 1:
         return df.withColumn("_shard", F.lit(0)), 1
-    return df.withColumn("_shard", _bucket(F.col(key), bounds)), len(bounds) + 1
+    regions = min(wanted, MAX_REGIONS)
+    got = df.agg(F.percentile_approx(F.col(key), [i / regions for i in range(1, regions)] or [0.5], max(10_000, 20 * regions))).first()[0]
+    bounds = sorted(set(got or [])) if regions > 1 else []
+    region = _bucket(F.col(key), bounds)
+    parts = min(MAX_PARTS, -(-wanted // regions))
+    if parts == 1:
+        return df.withColumn("_shard", region), len(bounds) + 1
+    low, high = (F.element_at(F.array(*[F.lit(float(x)) for x in ends]), region + 1) for ends in ([least, *bounds], [*bounds, most + 1]))
+    part = F.floor((F.col(key).cast("double") - low) * parts / F.greatest(high - low, F.lit(1.0)))
+    within = F.when(F.col(key).isNull(), 0).otherwise(F.greatest(F.lit(0), F.least(F.lit(parts - 1), part)))
+    return df.withColumn("_shard", (region * parts + within).cast("int")), (len(bounds) + 1) * parts
 
 
 def _bucket(key: Column, bounds: list) -> Column:

@@ -10,8 +10,9 @@ File: ``WMX1``, the header's length (unsigned 32 bit), a JSON header, then
 zstandard-compressed sections at the offsets that the header lists: the planes,
 ``doc_ids``, ``doc_null`` and ``doc_ends`` (token offset after each document).
 
-Documents are dealt to shards by ranges of doc_id, so the files in shard order hold all
-ids in ascending doc_id order.  A task writes under a temporary name and then renames,
+Documents are dealt to ranges of doc_id, and a range's sorted rows are cut into files of about
+``FILE_TOKENS`` ids, so the files in the order of (range, number) hold all ids in ascending
+doc_id order.  A task writes under a temporary name and then renames,
 so repeated or speculative tasks leave one whole file.
 
 Defined cases: a null text is the empty text and holds only the end id; null ids
@@ -42,7 +43,8 @@ from tarnlake.llm.bpe import byte_alphabet
 from tarnlake.llm.shared import by_shard, column, materialize, maybe_broadcast, ordered_shards, prepare, shared_dir, slices, texts
 
 MAGIC = b"WMX1"
-SHARD_BYTES = 8_000_000  #: text bytes per shard, about
+SHARD_BYTES = 8_000_000  #: text bytes per range, about
+FILE_TOKENS = 8_000_000  #: ids after which a file ends; a document is never cut
 _BLOCK = 8  #: 64-bit words per directory entry
 
 
@@ -153,7 +155,7 @@ class WaveletMatrix:
         return at
 
 
-def pack(shard: int, ids: np.ndarray, doc_ids: list[int | None], ends: np.ndarray) -> bytes:
+def pack(shard: list[int], ids: np.ndarray, doc_ids: list[int | None], ends: np.ndarray) -> bytes:
     """One shard as a file's bytes."""
     wm = WaveletMatrix.build(ids)
     sections = {f"plane{k}": p.tobytes() for k, p in enumerate(wm.packed)}
@@ -277,10 +279,10 @@ def _put(folder: str, name: str, data: bytes) -> None:
     fs.move(temporary, f"{path}/{name}")
 
 
-def write(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def write(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES, file_tokens: int = FILE_TOKENS) -> DataFrame:
     """Encode every text, append ``end_id``, and write ``shard-*.wm`` files into ``folder``.
 
-    Returns ``shard, n_docs, n_tokens``, one row per file; running it writes the files.
+    Returns ``shard, number, n_docs, n_tokens``, one row per file; running it writes the files.
     """
     prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -289,27 +291,29 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int, id_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path)
-        at, ids, sizes, parts = None, [], [], []
+        at, number, held, ids, sizes, parts = None, 0, 0, [], [], []
 
         def flush() -> pa.RecordBatch:
             flat = np.frombuffer(b"".join(parts), "<u4")
-            _put(folder, f"shard-{at:08d}.wm", pack(at, flat, ids, np.cumsum(sizes)))
-            return pa.record_batch([[at], [len(ids)], [len(flat)]], names=["shard", "n_docs", "n_tokens"])
+            _put(folder, f"shard-{at:06d}-{number:06d}.wm", pack([at, number], flat, ids, np.cumsum(sizes)))
+            return pa.record_batch([[at], [number], [len(ids)], [len(flat)]], names=["shard", "number", "n_docs", "n_tokens"])
 
         for b in slices(batches):
             shard = column(b, "_shard")
             for s, d, x in zip(shard, column(b, "doc_id"), enc.encode(texts(b)), strict=True):
-                if s != at:
-                    if at is not None:
-                        yield flush()
-                    at, ids, sizes, parts = s, [], [], []
+                if at is not None and (s != at or held >= file_tokens):
+                    yield flush()
+                    number = number + 1 if s == at else 0
+                    held, ids, sizes, parts = 0, [], [], []
+                at = s
                 ids.append(d)
                 sizes.append(len(x) // 4 + 1)
+                held += sizes[-1]
                 parts += [x, end]
         if at is not None:
             yield flush()
 
-    return by_shard(sharded, shards, "doc_id", "text").mapInArrow(run, "shard long, n_docs long, n_tokens long")
+    return by_shard(sharded, shards, "doc_id", "text").mapInArrow(run, "shard long, number long, n_docs long, n_tokens long")
 
 
 def read_documents(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
@@ -327,20 +331,25 @@ def read_documents(spark: SparkSession, folder: str, manifest: DataFrame) -> Dat
                     s, e = starts[lo : lo + 1024], ends[lo : lo + 1024]
                     yield pa.record_batch(
                         [
-                            pa.array([file.head["shard"]] * len(s), pa.int64()),
+                            pa.array([file.head["shard"][0]] * len(s), pa.int64()),
+                            pa.array([file.head["shard"][1]] * len(s), pa.int64()),
                             pa.array(docs[lo : lo + 1024], pa.int64()),
                             pa.array(s, pa.int64()),
                             pa.array(e - s, pa.int64()),
                             pa.array([raw[4 * a : 4 * z] for a, z in zip(s.tolist(), e.tolist(), strict=True)], pa.binary()),
                         ],
-                        names=["shard", "doc_id", "at", "n_tokens", "ids"],
+                        names=["shard", "number", "doc_id", "at", "n_tokens", "ids"],
                     )
 
-    sums = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
-    before = manifest.select("shard", F.coalesce(F.sum("n_tokens").over(sums), F.lit(0)).alias("before"))
+    # exclusive running sums: over the shards (a bounded number), and over the files of each
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    shards = manifest.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
+    shards = shards.select("shard", F.coalesce(F.sum("n").over(earlier(Window.orderBy("shard"))), F.lit(0)).alias("of_shards"))
+    own = F.coalesce(F.sum("n_tokens").over(earlier(Window.partitionBy("shard").orderBy("number"))), F.lit(0)).alias("of_files")
+    before = manifest.select("shard", "number", own).join(shards, "shard").select("shard", "number", (F.col("of_shards") + F.col("of_files")).alias("before"))
     files = spark.read.format("binaryFile").option("pathGlobFilter", "shard-*.wm").load(folder).select("content")
-    docs = files.mapInArrow(run, "shard long, doc_id long, at long, n_tokens long, ids binary")
-    return docs.join(maybe_broadcast(before, 1_000_000), "shard").select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids")
+    docs = files.mapInArrow(run, "shard long, number long, doc_id long, at long, n_tokens long, ids binary")
+    return docs.join(maybe_broadcast(before, 1_000_000), ["shard", "number"]).select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids")
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int = 2) -> DataFrame:

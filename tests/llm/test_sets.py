@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from tests.oracle import same
 
-from tarnlake.llm import decontaminate, fingerprints, jaccard, queries, sanitize
+from tarnlake.llm import decontaminate, fingerprints, jaccard, queries, sanitize, shared
 from tarnlake.llm.shared import read
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -182,7 +182,8 @@ def test_fingerprint():
     assert f("").likeness(f("")) == 1.0 and f("").likeness(f("a")) == 0.0
 
 
-def test_fingerprints_of_next_documents(spark, odd_rows, no_rows, data):
+def test_fingerprints_of_next_documents(spark, monkeypatch, odd_rows, no_rows, data):
+    monkeypatch.setattr(shared, "MAX_REGIONS", 3)  # regions cut into parts
     docs = read(spark, data, "documents").select("doc_id", "text")
     for frame, size in ((docs, 50_000), (docs, 10**9), (odd_rows, 200_000)):
         rows = sorted([(r.doc_id, r.text or "") for r in frame.collect() if r.doc_id is not None])
