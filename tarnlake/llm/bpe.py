@@ -35,7 +35,7 @@ _S = r"\p{White_Space}"
 SPLIT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+|{_S}+(?![^{_S}])|{_S}+")
 _NONE = np.int64(2**62)
 _LONG = 128  #: symbols from which a pre-token runs singly
-_CACHE = 250_000  #: entries kept per worker and dictionary
+_CACHE = 150_000  #: entries kept per worker and dictionary
 
 SCHEMA = "doc_id long, ids binary, decoded string"
 
@@ -289,6 +289,11 @@ class Codec:
                     del kept[x]
         return [b"".join([s if isinstance(s, bytes) else done.get(s, b"") for s in job]) for job in jobs]
 
+    def forget(self) -> None:
+        """Empty the kept dictionaries, so that an idle worker holds little."""
+        self.pieces.clear()
+        self.chunks.clear()
+
     def decode(self, ids: bytes) -> str:
         """The text of ids: their tokens' bytes, wrong UTF-8 shown as U+FFFD."""
         tokens = self.token_bytes
@@ -312,6 +317,7 @@ def encode_decode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text
                 [b.column(0), pa.array(ids, pa.binary()), pa.array([bpe.decode(x) for x in ids], pa.string())],
                 names=["doc_id", "ids", "decoded"],
             )
+        bpe.forget()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, SCHEMA)

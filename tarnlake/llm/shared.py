@@ -24,12 +24,18 @@ _BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 BATCH_ROWS = 1000
 
 
-def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package when it runs from a source tree, and bound their Arrow batches."""
+#: Allocator settings of Python workers: freed arrays go back to the system instead of staying with a long-lived worker.
+_LEAN = {"MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_TRIM_THRESHOLD_": "131072", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
+
+def prepare(spark: SparkSession, lean: bool = True) -> None:
+    """Let Python workers import this package when it runs from a source tree, and bound their memory."""
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if _ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([_ROOT, *paths])
+    if lean:
+        env.update({k: v for k, v in _LEAN.items() if k not in env})
     if int(spark.conf.get(_BATCH_ROWS)) > BATCH_ROWS:  # whole texts are large rows
         spark.conf.set(_BATCH_ROWS, str(BATCH_ROWS))
 

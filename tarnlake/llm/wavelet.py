@@ -284,7 +284,7 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int, id_col
 
     Returns ``shard, number, n_docs, n_tokens``, one row per file; running it writes the files.
     """
-    prepare(docs.sparkSession)
+    prepare(docs.sparkSession, lean=False)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sharded, shards = ordered_shards(rows, "doc_id", shard_bytes, F.octet_length("text"))
     end = np.array([end_id], "<u4").tobytes()
@@ -318,7 +318,7 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int, id_col
 
 def read_documents(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
     """``doc_id, start, n_tokens, ids`` of every document in the files of ``folder``; ids packed as unsigned 32 bit."""
-    prepare(spark)
+    prepare(spark, lean=False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
