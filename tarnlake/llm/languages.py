@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from tarnlake.llm.shared import crc32_mod, prepare, slices, splitmix, texts
 from tarnlake.llm.words import code_points
 
-MAX_TRAINING = 6_000  #: texts that the filters are fitted on, at most
+MAX_TRAINING = 4_000  #: texts that the filters are fitted on, at most
 SHARE = 0.3
 SLOTS_PER_GRAM = 16
 HASHES = 3
