@@ -98,7 +98,7 @@ class WaveletMatrix:
         row = ids.astype(np.uint16 if bits <= 16 else np.uint32)
         planes, zeros = [], []
         for k in range(bits):
-            one = (row >> (bits - 1 - k)) & 1 != 0
+            one = (row & row.dtype.type(1 << (bits - 1 - k))).astype(bool)
             raw = np.packbits(one, bitorder="little")
             planes.append(np.frombuffer(raw.tobytes() + b"\0" * (-len(raw) % 8), dtype="<u8"))
             none = row[~one]
@@ -113,14 +113,14 @@ class WaveletMatrix:
 
     def all(self) -> np.ndarray:
         """Every id in order: the stable partitions undone from the last plane to the first."""
-        row = np.zeros(self.n, dtype=np.uint32)
+        row = np.zeros(self.n, dtype=np.uint16 if self.bits <= 16 else np.uint32)
         for k in reversed(range(self.bits)):
             one = np.unpackbits(self.packed[k].view(np.uint8), count=self.n, bitorder="little").view(bool)
             back = np.empty_like(row)
             back[~one] = row[: self.zeros[k]]
-            back[one] = row[self.zeros[k] :] | np.uint32(1 << (self.bits - 1 - k))
+            back[one] = row[self.zeros[k] :] | row.dtype.type(1 << (self.bits - 1 - k))
             row = back
-        return row
+        return row.astype(np.uint32)
 
     def access(self, at) -> np.ndarray:
         """Ids at positions."""
@@ -204,7 +204,8 @@ class LibraryEncoder:
     """The tokenizers library's ids, each distinct white-space-free chunk encoded once per batch.
 
     For lower-casing vocabularies that drop white space before merging (no token spans it), so
-    a text's ids are its chunks' ids in a row.  A bounded dictionary keeps frequent chunks.
+    a text's ids are its chunks' ids in a row.  A bounded dictionary keeps chunks that more than
+    one batch has met.
     """
 
     KEEP = 250_000
@@ -220,6 +221,7 @@ class LibraryEncoder:
         self.tokenizer.no_padding()
         self.alphabet = byte_alphabet()
         self.known: dict[str, bytes] = {"": b""}
+        self.young: dict[str, bytes] = {}
 
     def _library(self, items: list[str]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast(items, add_special_tokens=False)
@@ -239,14 +241,21 @@ class LibraryEncoder:
                 continue
             parts = t.split()
             ids = [*map(known.get, parts)]
-            holes = [i for i, x in enumerate(ids) if x is None] if None in ids else []
+            holes, at = [], -1
+            for _ in range(ids.count(None)):
+                at = ids.index(None, at + 1)
+                holes.append(at)
             need.update([parts[i] for i in holes])
             rows.append((parts, ids, holes))
+        # what an earlier batch had met once is worth keeping; what is new waits beside
+        again = {c: x for c in need if (x := self.young.pop(c, None)) is not None}
+        known.update(again)
+        need -= again.keys()
         plain = {c: (m[1].lower(), m[2]) for c in need if (m := self.PLAIN.fullmatch(c))}
         letters = {w for w, _ in plain.values()}.difference(known)
         fresh = [*(need - plain.keys()).union([mark for _, mark in plain.values()]).difference(known, letters)]
         known.update(zip(fresh, self._library(fresh), strict=True))
-        known.update([(w, self._merge(w)) for w in letters])
+        known.update([(w, self.young.get(w) or self._merge(w)) for w in letters])
         fresh += letters
         known.update([(c, known[w] + known[mark]) for c, (w, mark) in plain.items()])
         fresh += [c for c, (w, mark) in plain.items() if mark or w != c]
@@ -259,7 +268,10 @@ class LibraryEncoder:
             for i in holes:
                 ids[i] = known[parts[i]]
             out.append(b"".join(ids))
-        for x in fresh[: max(0, len(known) - self.KEEP)]:
+        if len(self.young) > self.KEEP:
+            self.young.clear()
+        self.young.update([(x, known.pop(x)) for x in fresh])
+        for x in [*again][: max(0, len(known) - self.KEEP)]:
             del known[x]
         return out
 
