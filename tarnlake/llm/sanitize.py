@@ -6,10 +6,10 @@ strongly a term t near e reveals it:
 
     disclosure(t, e) = PMI(t, e) / IC(e) = log2(n_te * N / (n_t * n_e)) / -log2(n_e / N)
 
-with N documents, n_t documents holding t, n_e and n_te distinct contexts of e and of e
-with t (equal contexts, as in copies of a page, count once, so copies alone are no
-evidence).  1 means that t determines e.  With at least ``SUPPORT`` distinct contexts,
-terms from ``REMOVE`` on are removed and terms from ``GENERALISE`` on generalised,
+with N distinct texts, of which n_t hold t, n_e hold e and n_te hold e with t near it, so
+that copies of a page count once in all four.  1 means that t determines e.  With at least
+``SUPPORT`` distinct contexts of e with t (equal contexts, as in near copies, are no further
+evidence), terms from ``REMOVE`` on are removed and terms from ``GENERALISE`` on generalised,
 wherever they stand within ``REACH`` characters of that entity.  Texts are searched whole.
 
 Defined cases: a null text is the empty text without spans; repeated rows and null ids give
@@ -39,6 +39,7 @@ GENERALISE = 0.7
 REMOVE = 0.9
 REACH = 120
 MAX_BROADCAST = 200_000
+MAX_COPIED = 1_000_000  #: hashes of copied texts that are broadcast, at most
 
 _EMAIL_TAIL = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -118,7 +119,7 @@ _SPANS_DDL = "array<struct<kind:string,start:bigint,end:bigint>>"
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """``key, doc_id, base, near`` of every row: base spans and their contexts."""
+    """``key, page, doc_id, base, near`` of every row: base spans and their contexts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -127,27 +128,31 @@ def scan(docs: DataFrame) -> DataFrame:
                 spans = base_spans(t)
                 base.append([{"kind": k, "start": s, "end": e} for k, s, e in spans])
                 near.append(contexts(t, spans) if spans else [])
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(base, pa.list_(_SPAN)), pa.array(near, pa.list_(_NEAR))], names=["key", "doc_id", "base", "near"])
+            yield pa.record_batch([*b.columns[:3], pa.array(base, pa.list_(_SPAN)), pa.array(near, pa.list_(_NEAR))], names=["key", "page", "doc_id", "base", "near"])
 
-    ddl = f"key long, doc_id long, base {_SPANS_DDL}, near array<struct<entity:string,context:bigint,terms:array<struct<term:string,start:bigint,end:bigint>>>>"
-    return docs.select("key", "doc_id", "text").mapInArrow(run, ddl)
+    ddl = f"key long, page long, doc_id long, base {_SPANS_DDL}, near array<struct<entity:string,context:bigint,terms:array<struct<term:string,start:bigint,end:bigint>>>>"
+    return docs.select("key", "page", "doc_id", "text").mapInArrow(run, ddl)
 
 
 def disclosing_terms(docs: DataFrame, found: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
-    """``entity, term, disclosure`` of terms from ``generalise`` on; counts cover all of ``docs``."""
-    near = found.select(F.explode("near").alias("n")).select("n.entity", "n.context", F.array_distinct(F.transform("n.terms", lambda t: t["term"])).alias("terms"))
-    near = near.distinct()  # equal contexts count once
-    entities = near.groupBy("entity").agg(F.countDistinct("context").alias("n_e"))
-    pairs = near.select("entity", "context", F.explode("terms").alias("term")).distinct().groupBy("entity", "term").agg(F.count("*").alias("n_te"))
-    pairs = materialize(pairs.filter(F.col("n_te") >= support), "term-pairs")
+    """``entity, term, disclosure`` of terms from ``generalise`` on; counts cover all distinct texts of ``docs``."""
+    near = found.select("page", F.explode("near").alias("n")).select("page", "n.entity", "n.context", F.array_distinct(F.transform("n.terms", lambda t: t["term"])).alias("terms"))
+    near = near.distinct()  # copies of a text count once
+    entities = near.groupBy("entity").agg(F.countDistinct("page").alias("n_e"))
+    pairs = near.select("page", "entity", "context", F.explode("terms").alias("term"))
+    pairs = pairs.groupBy("entity", "term").agg(F.countDistinct("page").alias("n_te"), F.countDistinct("context").alias("contexts"))
+    pairs = materialize(pairs.filter(F.col("contexts") >= support), "term-pairs")
     terms = maybe_broadcast(pairs.select("term").distinct(), MAX_BROADCAST)
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{2,}"), F.lit(0)))).alias("term"))
+    pages = materialize(docs.groupBy("page").agg(F.count("*").alias("copies")), "pages")
+    # rows of a text that stands c times weigh 1/c, so that no text has to be shuffled to count it once
+    weighed = docs.join(maybe_broadcast(pages.filter("copies > 1"), MAX_COPIED), "page", "left").withColumn("weight", 1 / F.coalesce("copies", F.lit(1)))
+    words = weighed.select("weight", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{2,}"), F.lit(0)))).alias("term"))
     if pairs.isEmpty():  # nothing has the support, so nothing needs counting
         words = words.limit(0)
-    n_t = words.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
-    total = F.lit(float(max(1, docs.count())))
+    n_t = words.join(terms, "term", "left_semi").groupBy("term").agg(F.round(F.sum("weight")).alias("n_t"))
+    total = F.lit(float(max(1, pages.count())))
     scored = pairs.join(n_t, "term").join(entities, "entity")
-    pmi = F.log2(F.col("n_te") * total / (F.greatest("n_t", "n_te") * F.col("n_e")))
+    pmi = F.log2(F.col("n_te") * total / (F.greatest(F.col("n_t"), F.col("n_te")) * F.col("n_e")))
     information = -F.log2(F.least(F.lit(1.0), F.col("n_e") / total))
     scored = scored.select("entity", "term", F.when(information > 0, pmi / information).otherwise(F.lit(0.0)).alias("disclosure"))
     return scored.filter(F.col("disclosure") >= generalise)
@@ -155,7 +160,7 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, support: int = SUPPORT,
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("key", F.xxhash64("doc_id", "text")).withColumn("page", F.xxhash64("text"))
 
 
 def _added(docs: DataFrame, found: DataFrame) -> DataFrame:

@@ -249,6 +249,19 @@ def test_disclosing_terms(spark):
     assert all("term" not in found[d] for d in found if d >= 100)  # neither singletons nor copies disclose
 
 
+def test_copied_pages_still_disclose(spark):
+    """Copies of a page change neither what is counted together nor what is counted over all."""
+    rows = fixture(spark)
+    copied = rows.filter("doc_id < 100").crossJoin(spark.range(100)).selectExpr("1000 * (id + 1) + doc_id", "text")
+    kept = {r.doc_id: r.spans for r in sanitize.digests(sanitize.find(rows.union(copied))).collect()}
+    for d in [0, 5, 1000, 100_005]:
+        text = f"filler{d % 1000} common mail to ann@site.org about zorblax item{d % 1000}"
+        at = text.index("zorblax")
+        assert f"term_removed:{at}:{at + 7}" in kept[d]
+    plain = {r.doc_id: r.spans for r in sanitize.digests(sanitize.find(rows)).collect()}
+    assert {d: kept[d] for d in plain} == plain
+
+
 def test_redaction(spark, odd_rows, no_rows):
     out = {r.doc_id: r.text for r in sanitize.redact(fixture(spark)).collect()}
     assert "<EMAIL>" in out[0] and "ann@" not in out[0] and "zorblax" not in out[0] and "common" in out[0]
