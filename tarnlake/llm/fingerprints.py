@@ -8,9 +8,13 @@ the longest common extension of two positions takes a binary search.
 A fingerprint is a bounded extract of two such arrays, one of the text and one of the
 reversed text: the values at multiples of a power-of-two stride, at most ``GRID`` each,
 beside the length and the hash of the whole text under two moduli.  Two
-fingerprints therefore still answer span equality on their common grid, and
-``likeness`` is the share of the longer text that lies in their longest common prefix,
-their longest common suffix (both by binary search) and equal aligned cells between them.
+fingerprints therefore still answer span equality on their common grid, but only where
+nothing before has changed the length.
+
+The query's likeness therefore works on the whole arrays: ``common`` chains longest common
+extensions from both ends of what is left and synchronises again after an edit at equal
+windows, in order on both sides (see there).  ``likeness`` is the share of the longer text
+that the chain covers, whatever the edits' number and lengths.
 
 Defined cases: a null text is the empty text; two empty texts are alike (1), an empty
 and another text are not (0); "next" follows ascending doc_id, ties ordered by text;
@@ -22,6 +26,7 @@ empty table gives an empty table.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -84,9 +89,12 @@ class PrefixHash:
         room = max(self.n, other.n)
         return self._span(i, length, room) == other._span(j, length, room)
 
-    def extension(self, i: int, other: PrefixHash, j: int) -> int:
-        """Longest common extension of position i here and j there, by binary search."""
+    def extension(self, i: int, other: PrefixHash, j: int, limit: int | None = None) -> int:
+        """Longest common extension of position i here and j there (``limit`` at most), by binary search."""
         low, high = 0, min(self.n - i, other.n - j)
+        high = high if limit is None else min(high, limit)
+        if high and self.codes[i] != other.codes[j]:
+            return 0
         while low < high:
             mid = (low + high + 1) // 2
             if self.equal(i, other, j, mid):
@@ -95,6 +103,118 @@ class PrefixHash:
                 high = mid - 1
         return low
 
+    def extension_back(self, i: int, other: PrefixHash, j: int, limit: int) -> int:
+        """Longest common extension to the left of the ends i here and j there, ``limit`` at most."""
+        low, high = 0, limit
+        if high and self.codes[i - 1] != other.codes[j - 1]:
+            return 0
+        while low < high:
+            mid = (low + high + 1) // 2
+            if self.equal(i - mid, other, j - mid, mid):
+                low = mid
+            else:
+                high = mid - 1
+        return low
+
+    def windows(self, start: int, end: int, length: int, room: int) -> np.ndarray:
+        """Hashes of all windows of ``length`` characters within start to end; they compare for equal ``room``."""
+        first, last = slice(start, end - length + 1), slice(start + length, end + 1)
+        parts = []
+        for s, p in ((self.one, _P1), (self.two, _P2)):
+            m = np.uint64(p.modulus)
+            shift = p(room + 1)[room - np.arange(start, end - length + 1)]
+            parts.append((s[last] + m - s[first]) % m * shift % m)
+        return parts[0] << np.uint64(31) | parts[1]
+
+    def common(self, other: PrefixHash) -> int:
+        """Characters of a chain of equal spans, in order on both sides.
+
+        In a gap (at first both whole texts) the longest common extensions from both ends
+        count.  Between them windows that stand once on either side, or if there are none the
+        k-th occurrences of a window on both sides, are joined to runs; the heaviest ordered
+        chain of runs counts, and the gaps between them are treated likewise.  Windows are so
+        long (two bits a character) that a gap of this size hardly has equal ones by chance.
+        """
+        room, total = max(self.n, other.n), 0
+        gaps = [(0, self.n, 0, other.n)]
+        while gaps:
+            a, a_end, b, b_end = gaps.pop()
+            head = self.extension(a, other, b, min(a_end - a, b_end - b))
+            a, b = a + head, b + head
+            tail = self.extension_back(a_end, other, b_end, min(a_end - a, b_end - b))
+            a_end, b_end = a_end - tail, b_end - tail
+            total += head + tail
+            if a == a_end or b == b_end:
+                continue
+            length = 1 + (((a_end - a) * (b_end - b)).bit_length() + 1) // 2
+            if min(a_end - a, b_end - b) < length:
+                continue
+            left, right = _anchors(self.windows(a, a_end, length, room), other.windows(b, b_end, length, room))
+            for i, j, n in _chain(left + a, right + b, length):
+                total += n
+                gaps.append((a, i, b, j))
+                a, b = i + n, j + n
+            if len(left):
+                gaps.append((a, a_end, b, b_end))
+        return total
+
+    def likeness(self, other: PrefixHash) -> float:
+        """Share of the longer text found in common, from 0 to 1."""
+        if self.n == other.n and self.one[-1] == other.one[-1] and self.two[-1] == other.two[-1]:
+            return 1.0
+        return self.common(other) / max(self.n, other.n)
+
+
+def _anchors(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of equal hashes: of those that stand once on either side, or if there are none the k-th of either side."""
+    (va, ia, ca), (vb, ib, cb) = (np.unique(x, return_index=True, return_counts=True) for x in (a, b))
+    _, at, bt = np.intersect1d(va, vb, assume_unique=True, return_indices=True)
+    once = (ca[at] == 1) & (cb[bt] == 1)
+    if once.any() or not len(at):
+        left, right = ia[at[once]], ib[bt[once]]
+    else:
+        both = np.minimum(ca[at], cb[bt])
+        within = np.arange(both.sum()) - np.repeat(np.cumsum(both) - both, both)
+        first = [np.repeat((np.cumsum(c) - c)[t], both) for c, t in ((ca, at), (cb, bt))]
+        left, right = (np.argsort(x, kind="stable")[f + within] for x, f in zip((a, b), first, strict=True))
+    order = np.argsort(left)
+    return left[order], right[order]
+
+
+def _chain(left: np.ndarray, right: np.ndarray, length: int) -> list[tuple[int, int, int]]:
+    """Spans (i, j, n) of the heaviest chain, increasing on both sides, of runs of anchors; ``left`` ascends."""
+    if not len(left):
+        return []
+    cut = np.flatnonzero((np.diff(left) != 1) | (np.diff(right) != 1)) + 1
+    starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [len(left)]])
+    runs = list(zip(left[starts].tolist(), right[starts].tolist(), (ends - starts).tolist(), strict=True))
+    # best[k]: the heaviest chain whose last anchor on the right is at most keys[k]; both ascend
+    keys, weights, last, before = [-1], [0], [-1], []
+    for r, (_, j, n) in enumerate(runs):
+        k = bisect_left(keys, j) - 1
+        before.append(last[k])
+        key, weight = j + n - 1, weights[k] + n
+        at = bisect_right(keys, key)
+        if weights[at - 1] >= weight:
+            continue
+        at = bisect_left(keys, key)
+        stop = at
+        while stop < len(keys) and weights[stop] <= weight:
+            stop += 1
+        keys[at:stop], weights[at:stop], last[at:stop] = [key], [weight], [r]
+    chosen, r = [], last[-1]
+    while r >= 0:
+        chosen.append(runs[r])
+        r = before[r]
+    out, a, b = [], 0, 0
+    for i, j, n in reversed(chosen):
+        n += length - 1
+        late = max(0, a - i, b - j)  # windows overlap, spans must not
+        if n > late:
+            out.append((i + late, j + late, n - late))
+            a, b = i + n, j + n
+    return out
+
 
 @dataclass
 class Fingerprint:
@@ -107,8 +227,8 @@ class Fingerprint:
     back: np.ndarray
 
     @classmethod
-    def of(cls, text: str) -> Fingerprint:
-        h = PrefixHash(text)
+    def of(cls, text: str | PrefixHash) -> Fingerprint:
+        h = text if isinstance(text, PrefixHash) else PrefixHash(text)
         stride = 1
         while h.n // stride > GRID:
             stride *= 2
@@ -126,7 +246,7 @@ class Fingerprint:
         return cls(int(n, 16), int(whole, 16), int(stride, 16), array(front), array(back))
 
     def likeness(self, other: Fingerprint) -> float:
-        """Share of the longer text found in common, from 0 to 1."""
+        """Share of the longer text found in common on the grid alone, from 0 to 1; edits that shift the text hide what lies between them."""
         if self.n == other.n and self.whole == other.whole:
             return 1.0
         if not self.n or not other.n:
@@ -185,19 +305,20 @@ def fingerprint_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     chained, shards = with_next(rows, shard_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # shard, doc_id, text, fingerprint
+        held = None  # shard, doc_id, text, prefix arrays, fingerprint
         out: list[tuple] = []
         for b in slices(batches):
             for shard, guest, doc, text in zip(column(b, "_shard"), column(b, "_guest"), column(b, "doc_id"), texts(b), strict=True):
                 if held is not None and held[0] != shard:
                     held = None
-                mark = Fingerprint.of(text)
+                whole = PrefixHash(text)
+                mark = Fingerprint.of(whole)
                 if doc is None:
-                    out.append(_row(doc, text, mark, text, mark))
+                    out.append(_row(doc, text, whole, mark, text, whole))
                     continue
                 if held is not None:
-                    out.append(_row(held[1], held[2], held[3], text, mark))
-                held = None if guest else (shard, doc, text, mark)
+                    out.append(_row(*held[1:], text, whole))
+                held = None if guest else (shard, doc, text, whole, mark)
             yield _batch(out)
             out = []
 
@@ -218,11 +339,11 @@ _ARROW = pa.schema(
 )
 
 
-def _row(doc: int | None, text: str, mark: Fingerprint, following: str, next_mark: Fingerprint) -> tuple:
+def _row(doc: int | None, text: str, whole: PrefixHash, mark: Fingerprint, following: str, next_whole: PrefixHash) -> tuple:
     changed = edited(text, following)
-    changed_mark = Fingerprint.of(changed)
+    changed_whole = PrefixHash(changed)
     digest = hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest()
-    return doc, len(text), digest, str(mark), str(changed_mark), mark.likeness(changed_mark), mark.likeness(next_mark)
+    return doc, len(text), digest, str(mark), str(Fingerprint.of(changed_whole)), whole.likeness(changed_whole), whole.likeness(next_whole)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

@@ -182,6 +182,46 @@ def test_fingerprint():
     assert f("").likeness(f("")) == 1.0 and f("").likeness(f("a")) == 0.0
 
 
+def brute_common(a, b):
+    """Length of the longest common subsequence."""
+    x, y = (np.frombuffer(t.encode("utf-32-le"), "<u4") for t in (a, b))
+    row = np.zeros(len(y) + 1, int)
+    for c in x:
+        row[1:] = np.maximum.accumulate(np.maximum(row[1:], np.where(y == c, row[:-1] + 1, 0)))
+    return int(row[-1])
+
+
+def scattered(words, edits, rnd):
+    """Words at random places replaced by words of other lengths."""
+    w = list(words)
+    for at in rnd.sample(range(len(w)), edits):
+        w[at] = "".join(rnd.choice("ABCDEF") for _ in range(rnd.randint(1, 12)))
+    return " ".join(w)
+
+
+@pytest.mark.parametrize("repeats", [1, 12])
+def test_likeness_after_scattered_edits(repeats):
+    rnd = random.Random(5)
+    vocab = ["".join(rnd.choice("abcdefghijklm") for _ in range(rnd.randint(1, 9))) for _ in range(400)]
+    for edits in (0, 1, 2, 3, 5, 10):
+        for _ in range(4):
+            words = [rnd.choice(vocab) for _ in range(360 // repeats)] * repeats
+            a, b = " ".join(words), scattered(words, edits, rnd)
+            x, y = fingerprints.PrefixHash(a), fingerprints.PrefixHash(b)
+            want = brute_common(a, b) / max(len(a), len(b))
+            assert want - 0.03 <= x.likeness(y) <= want and want - 0.03 <= y.likeness(x) <= want, edits
+    assert fingerprints.PrefixHash("x" * 3000).likeness(fingerprints.PrefixHash("x" * 2000)) == 2000 / 3000
+    assert fingerprints.PrefixHash("").likeness(fingerprints.PrefixHash("a")) == 0.0
+
+
+def test_query_likeness_is_whole(spark):
+    """The end of a document that its edited text keeps behind a shift counts too."""
+    rnd = random.Random(7)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 9))) for _ in range(500)]
+    frame = spark.createDataFrame([(1, " ".join(words)), (2, scattered(words, 5, rnd))], "doc_id long, text string")
+    assert all(r.near_next > 0.9 for r in fingerprints.fingerprint_pairs(frame).collect())
+
+
 def test_fingerprints_of_next_documents(spark, monkeypatch, odd_rows, no_rows, data):
     monkeypatch.setattr(shared, "MAX_REGIONS", 3)  # regions cut into parts
     docs = read(spark, data, "documents").select("doc_id", "text")
