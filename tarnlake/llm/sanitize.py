@@ -6,11 +6,13 @@ strongly a term t near e reveals it:
 
     disclosure(t, e) = PMI(t, e) / IC(e) = log2(n_te * N / (n_t * n_e)) / -log2(n_e / N)
 
-with N distinct texts, of which n_t hold t, n_e hold e and n_te hold e with t near it, so
-that copies of a page count once in all four.  1 means that t determines e.  With at least
-``SUPPORT`` distinct contexts of e with t (equal contexts, as in near copies, are no further
-evidence), terms from ``REMOVE`` on are removed and terms from ``GENERALISE`` on generalised,
-wherever they stand within ``REACH`` characters of that entity.  Texts are searched whole.
+with N distinct texts, of which n_t hold t, n_e hold e and n_te hold both, however far
+apart, so that copies of a page count once in all four.  1 means that t determines e.
+Evidence is counted in distinct contexts of e (its surroundings of ``REACH`` characters;
+equal ones, as in near copies, are no further evidence): a text gives those with t in
+them, or one if t stands farther off.  With at least ``SUPPORT`` of them, terms from
+``REMOVE`` on are removed and terms from ``GENERALISE`` on generalised, wherever they stand
+in a text that holds the entity.  Texts are searched whole.
 
 Defined cases: a null text is the empty text without spans; repeated rows and null ids give
 one row each; overlapping spans are all reported, and redaction replaces their union once;
@@ -20,13 +22,14 @@ empty table.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex as re
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -97,50 +100,91 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def contexts(text: str, spans: list[tuple[str, int, int]]) -> list[dict]:
-    """Entity, context hash and nearby terms with their places, of every base span."""
-    out = []
+def term_places(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """All terms of the text outside of the spans, with their places."""
+    union: list[list[int]] = []
+    for s, e in sorted((s, e) for _, s, e in spans):
+        if union and s <= union[-1][1]:
+            union[-1][1] = max(union[-1][1], e)
+        else:
+            union.append([s, e])
+    out, k = [], 0
+    for m in _TERM.finditer(text):
+        while k < len(union) and union[k][1] <= m.start():
+            k += 1
+        if k == len(union) or m.end() <= union[k][0]:
+            out.append((m[0].lower(), m.start(), m.end()))
+    return out
+
+
+def contexts(text: str, spans: list[tuple[str, int, int]], terms: list[tuple[str, int, int]]) -> list[dict]:
+    """The different entities, each with the hashes of its different contexts and the different terms in them."""
+    starts, ends = [s for _, s, _ in terms], [e for _, _, e in terms]
+    found: dict[str, dict[int, list[str]]] = {}
     for kind, start, end in spans:
         low, high = max(0, start - REACH), min(len(text), end + REACH)
-        terms = []
-        for m in _TERM.finditer(text, low, high):
-            cut = (m.start() == low and low > 0 and text[low - 1].isalpha()) or (m.end() == high and high < len(text) and text[high].isalpha())
-            if not cut and not any(s < m.end() and m.start() < e for _, s, e in spans):
-                terms.append({"term": m[0].lower(), "start": m.start(), "end": m.end()})
+        close = terms[bisect_left(starts, low) : bisect_right(ends, high)]
         value = text[start:end].lower() if kind == "email" else re.sub(r"[^0-9.]" if kind == "ip" else r"[^0-9]", "", text[start:end])
         near = text[low:high].encode("utf-8", "surrogatepass")
-        out.append({"entity": f"{kind}:{value}", "context": int(np.uint64(xxhash.xxh64_intdigest(near)).astype(np.int64)), "terms": terms})
-    return out
+        context = int(np.uint64(xxhash.xxh64_intdigest(near)).astype(np.int64))
+        found.setdefault(f"{kind}:{value}", {})[context] = sorted({t for t, _, _ in close})
+    return [{"entity": e, "contexts": [{"context": c, "close": close} for c, close in own.items()]} for e, own in found.items()]
+
+
+def grouped(terms: list[tuple[str, int, int]]) -> list[dict]:
+    """The different terms, each with all its places."""
+    places: dict[str, list[dict]] = {}
+    for t, s, e in terms:
+        places.setdefault(t, []).append({"start": s, "end": e})
+    return [{"term": t, "places": own} for t, own in places.items()]
 
 
 _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
-_NEAR = pa.struct([("entity", pa.string()), ("context", pa.int64()), ("terms", pa.list_(pa.struct([("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))])
+_NEAR = pa.struct([("entity", pa.string()), ("contexts", pa.list_(pa.struct([("context", pa.int64()), ("close", pa.list_(pa.string()))])))])
+_PLACED = pa.struct([("term", pa.string()), ("places", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
 _SPANS_DDL = "array<struct<kind:string,start:bigint,end:bigint>>"
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """``key, page, doc_id, base, near`` of every row: base spans and their contexts."""
+    """``key, page, doc_id, base, near, terms`` of every row: base spans, and if there are any their contexts and all terms of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            base, near = [], []
+            base, near, placed = [], [], []
             for t in texts(b):
                 spans = base_spans(t)
                 base.append([{"kind": k, "start": s, "end": e} for k, s, e in spans])
-                near.append(contexts(t, spans) if spans else [])
-            yield pa.record_batch([*b.columns[:3], pa.array(base, pa.list_(_SPAN)), pa.array(near, pa.list_(_NEAR))], names=["key", "page", "doc_id", "base", "near"])
+                terms = term_places(t, spans) if spans else []
+                near.append(contexts(t, spans, terms))
+                placed.append(grouped(terms))
+            yield pa.record_batch([*b.columns[:3], pa.array(base, pa.list_(_SPAN)), pa.array(near, pa.list_(_NEAR)), pa.array(placed, pa.list_(_PLACED))], names=["key", "page", "doc_id", "base", "near", "terms"])
 
-    ddl = f"key long, page long, doc_id long, base {_SPANS_DDL}, near array<struct<entity:string,context:bigint,terms:array<struct<term:string,start:bigint,end:bigint>>>>"
+    ddl = f"key long, page long, doc_id long, base {_SPANS_DDL}, near array<struct<entity:string,contexts:array<struct<context:bigint,close:array<string>>>>>, "
+    ddl += "terms array<struct<term:string,places:array<struct<start:bigint,end:bigint>>>>"
     return docs.select("key", "page", "doc_id", "text").mapInArrow(run, ddl)
 
 
 def disclosing_terms(docs: DataFrame, found: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
     """``entity, term, disclosure`` of terms from ``generalise`` on; counts cover all distinct texts of ``docs``."""
-    near = found.select("page", F.explode("near").alias("n")).select("page", "n.entity", "n.context", F.array_distinct(F.transform("n.terms", lambda t: t["term"])).alias("terms"))
-    near = near.distinct()  # copies of a text count once
-    entities = near.groupBy("entity").agg(F.countDistinct("page").alias("n_e"))
-    pairs = near.select("page", "entity", "context", F.explode("terms").alias("term"))
-    pairs = pairs.groupBy("entity", "term").agg(F.countDistinct("page").alias("n_te"), F.countDistinct("context").alias("contexts"))
+    near = found.filter(F.size("near") > 0).select("page", "near", F.transform("terms", lambda t: t["term"]).alias("terms"))
+    near = materialize(near.dropDuplicates(["page"]), "near-pages")  # copies of a text count once
+    near = near.select("page", F.explode("near").alias("n"), "terms").select("page", "n.entity", "n.contexts", "terms")
+    entities = near.select("page", "entity", F.explode("contexts.context").alias("context")).groupBy("entity")
+    entities = entities.agg(F.countDistinct("page").alias("n_e"), F.countDistinct("context").alias("contexts"))
+    # a term has at most the contexts of its entity, so entities without the support have no such term
+    entities = materialize(entities.filter(F.col("contexts") >= support).select("entity", "n_e"), "entities")
+    near = near.join(maybe_broadcast(entities.select("entity"), MAX_BROADCAST), "entity", "left_semi")
+    none, one, zero = F.lit(None).cast("long"), F.lit(1), F.lit(0)
+
+    def row(term: Column, context: Column, held: Column) -> Column:
+        return F.struct(term.alias("term"), context.alias("context"), held.alias("held"))
+
+    every = F.transform("terms", lambda t: row(t, none, one))  # counts the text
+    close = F.flatten(F.transform("contexts", lambda c: F.transform(c["close"], lambda t: row(t, c["context"], zero))))
+    far = F.transform(F.array_except("terms", F.flatten("contexts.close")), lambda t: row(t, F.array_min("contexts.context"), zero))
+    rows = near.select("entity", F.explode(F.concat(every, close, far)).alias("r")).select("entity", "r.*")
+    pairs = rows.groupBy("entity", "term", "context").agg(F.sum("held").alias("held"))
+    pairs = pairs.groupBy("entity", "term").agg(F.sum("held").alias("n_te"), F.count("context").alias("contexts"))
     pairs = materialize(pairs.filter(F.col("contexts") >= support), "term-pairs")
     terms = maybe_broadcast(pairs.select("term").distinct(), MAX_BROADCAST)
     pages = materialize(docs.groupBy("page").agg(F.count("*").alias("copies")), "pages")
@@ -166,9 +210,12 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _added(docs: DataFrame, found: DataFrame) -> DataFrame:
     """``key, added``: spans of disclosing terms of rows that have any."""
     flagged = maybe_broadcast(materialize(disclosing_terms(docs, found), "disclosing-terms"), MAX_BROADCAST)
-    places = found.select("key", F.explode("near").alias("n")).select("key", "n.entity", F.explode("n.terms").alias("t")).select("key", "entity", "t.term", "t.start", "t.end")
+    held = found.filter(F.size("near") > 0).select("key", F.explode("near.entity").alias("entity"), "terms")
+    held = held.join(maybe_broadcast(flagged.select("entity").distinct(), MAX_BROADCAST), "entity", "left_semi")
+    places = held.select("key", "entity", F.explode("terms").alias("t")).select("key", "entity", "t.term", "t.places")
     kind = F.when(F.col("disclosure") >= REMOVE, TERM_KINDS[1]).otherwise(TERM_KINDS[0])
-    spans = places.join(flagged, ["entity", "term"]).groupBy("key", "start", "end").agg(F.max(kind).alias("kind"))
+    spans = places.join(flagged, ["entity", "term"]).select("key", kind.alias("kind"), F.explode("places").alias("p"))
+    spans = spans.groupBy("key", "p.start", "p.end").agg(F.max("kind").alias("kind"))
     return spans.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end"))).alias("added"))
 
 

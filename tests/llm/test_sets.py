@@ -302,6 +302,19 @@ def test_copied_pages_still_disclose(spark):
     assert {d: kept[d] for d in plain} == plain
 
 
+def test_terms_far_from_their_entity(spark):
+    """'zorblax' stands near the address and far from it, 'quuxly' far from it only."""
+    pad = "common words stand here and there " * 12
+    rows = [(i, f"number{i} ann@site.org knows zorblax {pad} zorblax and quuxly {pad} quuxly") for i in range(6)]
+    rows += [(100 + i, f"{pad} number{i} mail{i}@else.net knows") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.spans for r in sanitize.find(docs).collect()}
+    for d, text in rows:
+        own = sorted((s.start, s.end) for s in found[d] if s.kind == "term_removed")
+        assert own == [m.span() for m in re.finditer("zorblax|quuxly", text)]
+    assert not any("zorblax" in r.text or "quuxly" in r.text for r in sanitize.redact(docs).collect())
+
+
 def test_redaction(spark, odd_rows, no_rows):
     out = {r.doc_id: r.text for r in sanitize.redact(fixture(spark)).collect()}
     assert "<EMAIL>" in out[0] and "ann@" not in out[0] and "zorblax" not in out[0] and "common" in out[0]
