@@ -23,6 +23,12 @@ def listing(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file, or a folder with all that it holds; nothing if there is none."""
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
 def publish(spark: SparkSession, path: str, content: bytes) -> None:
     """Create a file whole or not at all: written under another name, then renamed. Fails if it exists."""
     fs, p = _fs(spark, path)
