@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnlake.llm.shared import materialize, maybe_broadcast, prepare, slices, splitmix, texts
+from tarnlake.llm.shared import materialize, maybe_broadcast, prepare, row_key, slices, splitmix, texts
 from tarnlake.llm.words import split
 
 N = 5
@@ -114,7 +114,7 @@ def signatures(docs: DataFrame, bands: int, rows: int, n: int) -> DataFrame:
                 names=["doc_id", "place", "set_key", "grams", "bands"],
             )
 
-    return docs.select("doc_id", "place", "text").mapInArrow(run, "doc_id long, place long, set_key binary, grams int, bands array<long>")
+    return docs.select("doc_id", "place", "text").mapInArrow(run, "doc_id long, place binary, set_key binary, grams int, bands array<long>")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -261,16 +261,17 @@ def components(edges: DataFrame, purpose: str = "components") -> DataFrame:
 
     Alternating large-star and small-star rounds over ``a, b`` edges; a round costs two
     shuffles of the edges, whose number never grows, and the number of rounds is
-    logarithmic.
+    logarithmic.  Each node's least neighbour is written first, so that the join with the
+    edges has plain exchanges, whose skewed partitions (the hub of a large component) are split.
     """
     edges = materialize(_oriented(edges), purpose)
     seen = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        low = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), purpose)
         star = both.join(low, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = materialize(_oriented(star), purpose)
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = materialize(large.groupBy("a").agg(F.min("b").alias("m")), purpose)
         rest = large.join(low, "a").filter(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = materialize(_oriented(rest.unionByName(low.select("a", F.col("m").alias("b")))), purpose)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -287,14 +288,14 @@ def _oriented(edges: DataFrame) -> DataFrame:
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, n: int = N, recall: float = RECALL) -> DataFrame:
     """``doc_id, place, group, class_id, n_links, n_copies`` of every document.
 
-    place: xxhash64 of (doc_id, text), which names a row's content; group: the group's key, null
+    place: 128 bits that name the content of (doc_id, text); group: the group's key, null
     without words; class_id: the smallest doc_id linked to it directly or by others; n_links: the
     other documents of at least the threshold's similarity; n_copies: those with the same n-gram set.
     """
     prepare(docs.sparkSession)
     bands, rows = choose_bands(threshold, recall)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    docs = docs.withColumn("place", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    docs = docs.withColumn("place", row_key(F.col("doc_id"), F.col("text")))
     signed = materialize(signatures(docs, bands, rows, n), "signatures")
     known = signed.filter("set_key is not null")
     classes = known.groupBy("set_key").agg(F.count("*").alias("weight"), F.min("doc_id").alias("least"), F.min_by(F.struct("place", "grams", "bands"), "place").alias("one"))
@@ -303,19 +304,15 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
     found = components(links.select(F.col("set_key").alias("a"), F.col("root").alias("b")))
     counted = links.groupBy("set_key").agg(F.sum("links").alias("links"))
     rooted = classes.select("set_key", "weight", "least").join(found.withColumnRenamed("node", "set_key"), "set_key", "left")
-    rooted = rooted.join(counted, "set_key", "left").withColumn("group", F.coalesce("root", "set_key"))
-    least = rooted.groupBy("group").agg(F.min("least").alias("class_id"))
+    rooted = materialize(rooted.join(counted, "set_key", "left").withColumn("group", F.coalesce("root", "set_key")), "rooted")
+    least = materialize(rooted.groupBy("group").agg(F.min("least").alias("class_id")), "least")  # so that a large group's partition can be split
     links_here = (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
     per_class = rooted.join(least, "group").select("set_key", "group", "class_id", (F.col("weight") - 1).alias("n_copies"), links_here)
-    joined = signed.select("doc_id", "place", "set_key").join(per_class, "set_key", "left")
-    return joined.select(
-        "doc_id",
-        "place",
-        "group",
-        F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("n_copies", F.lit(0)).cast("long").alias("n_copies"),
-    )
+    per_class = materialize(per_class, "per-class")
+    joined = known.select("doc_id", "place", "set_key").join(per_class, "set_key").select("doc_id", "place", "group", "class_id", "n_links", "n_copies")
+    none = F.lit(0).cast("long")  # texts without words stand aside, else they would meet in one task under a null key
+    alone = signed.filter("set_key is null").select("doc_id", "place", F.lit(None).cast("binary").alias("group"), F.col("doc_id").alias("class_id"), none.alias("n_links"), none.alias("n_copies"))
+    return joined.unionByName(alone)
 
 
 def jaccard_classes(docs: DataFrame, **how) -> DataFrame:

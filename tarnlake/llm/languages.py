@@ -9,7 +9,7 @@ the false positives that the filter's fill predicts; the largest vote decides.
 A language's filter holds the n-grams (3 and 4 characters inside words with their
 borders) that are at least ``SHARE`` times as frequent in it as in the language where
 they are most frequent.  It is fitted on at most ``MAX_TRAINING`` texts in all, split
-evenly over the languages and chosen by the hash of the text.
+evenly over the languages, of each the different texts with the smallest hashes.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; ties go to the
 language first in code-point order; without any labelled text every text is ``und``;
@@ -24,8 +24,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tarnlake.llm.shared import crc32_mod, prepare, slices, splitmix, texts
 from tarnlake.llm.words import code_points
@@ -162,19 +164,43 @@ class LanguageFilters:
         return [self.languages[i] if i >= 0 else UNKNOWN for i in number], score, number
 
 
+def label_counts(rows: DataFrame, most: int) -> list[tuple]:
+    """``label, n`` of the ``most`` labels with the most different texts; n is an estimate."""
+    counts = rows.groupBy("label").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n"))
+    return [(r["label"], r["n"]) for r in counts.orderBy(F.desc("n"), "label").limit(most).collect()]
+
+
 def training_sample(rows: DataFrame, max_rows: int) -> list:
-    """At most ``max_rows`` different ``text, label`` rows (and the least of other columns), evenly over labels, chosen by the hash of the text."""
-    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    """At most ``max_rows`` different ``text, label`` rows (and the least of other columns), evenly over labels.
+
+    Of every label the texts with the smallest hashes are taken, copies of a text once.  The estimated
+    numbers of texts only choose up to which hash the first pass looks; it looks further until
+    every label has its share or all its texts.  Beyond ``max_rows`` labels the rarest are not learned.
+    """
+    rows = rows.filter(F.col("label").isNotNull() & F.col("text").isNotNull())
+    counts = label_counts(rows, max_rows)
     if not counts:
         return []
     each = max(1, max_rows // len(counts))
-    pick = F.lit(False)
-    place = F.pmod(F.xxhash64("text"), F.lit(1_000_000))
-    for label, n in counts.items():
-        pick = pick | ((F.col("label") == label) & (place < int(1_000_000 * min(1.0, each / n))))
+    wanted = each * 1.25 + 5 * each**0.5 + 20
+    kind = T.StructType([T.StructField("label", rows.schema["label"].dataType), T.StructField("upto", T.LongType())])
+    place = F.xxhash64("text")
     more = [F.min(c).alias(c) for c in rows.columns if c not in ("text", "label")]
-    some = rows.filter(pick).groupBy("text", "label").agg(F.count("*").alias("copies"), *more)  # copies of a text count once
-    return some.orderBy(F.xxhash64("text"), "text", "label").limit(max_rows).collect()
+    found, share = {}, {label: min(1.0, wanted / max(1, n)) for label, n in counts}
+    todo = [*share]
+    while todo:
+        upto = [(label, min(2**63 - 1, int(share[label] * 2**64) - 2**63)) for label in todo]
+        cut = F.broadcast(rows.sparkSession.createDataFrame(upto, kind))  # at most max_rows rows
+        some = rows.join(cut, "label").filter(place <= F.col("upto")).groupBy("text", "label").agg(F.count("*").alias("copies"), *more)
+        first = some.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy(place, "text"))).filter(F.col("rank") <= each).drop("rank")
+        got: dict = {label: [] for label in todo}
+        for r in first.orderBy(place, "text", "label").collect():
+            got[r["label"]].append(r)
+        found |= got
+        todo = [label for label in todo if len(got[label]) < each and share[label] < 1]
+        share |= {label: min(1.0, 16 * share[label]) for label in todo}
+    # in the order of a hash that mixes the labels
+    return sorted((r for own in found.values() for r in own), key=lambda r: xxhash.xxh64_intdigest(r["text"].encode("utf-8", "surrogatepass")))
 
 
 def train(labelled: DataFrame, max_rows: int = MAX_TRAINING) -> LanguageFilters:

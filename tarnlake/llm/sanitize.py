@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnlake.llm.shared import column, materialize, maybe_broadcast, prepare, slices, texts
+from tarnlake.llm.shared import column, materialize, maybe_broadcast, prepare, row_key, slices, texts
 
 KINDS = ["email", "ip", "card", "phone"]
 TERM_KINDS = ["term_generalised", "term_removed"]
@@ -159,7 +159,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 placed.append(grouped(terms))
             yield pa.record_batch([*b.columns[:3], pa.array(base, pa.list_(_SPAN)), pa.array(near, pa.list_(_NEAR)), pa.array(placed, pa.list_(_PLACED))], names=["key", "page", "doc_id", "base", "near", "terms"])
 
-    ddl = f"key long, page long, doc_id long, base {_SPANS_DDL}, near array<struct<entity:string,contexts:array<struct<context:bigint,close:array<string>>>>>, "
+    ddl = f"key binary, page binary, doc_id long, base {_SPANS_DDL}, near array<struct<entity:string,contexts:array<struct<context:bigint,close:array<string>>>>>, "
     ddl += "terms array<struct<term:string,places:array<struct<start:bigint,end:bigint>>>>"
     return docs.select("key", "page", "doc_id", "text").mapInArrow(run, ddl)
 
@@ -204,7 +204,7 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, support: int = SUPPORT,
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("key", F.xxhash64("doc_id", "text")).withColumn("page", F.xxhash64("text"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("key", row_key(F.col("doc_id"), F.col("text"))).withColumn("page", row_key(F.lit(""), F.col("text")))
 
 
 def _added(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -256,7 +256,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     names = docs.columns
     at = names.index(text_col)
     inner = docs.toDF(*[f"c{i}" for i in range(len(names))])  # names of the input cannot clash with ours
-    inner = inner.withColumn("key", F.xxhash64(F.col(f"c{names.index(id_col)}").cast("long"), F.coalesce(F.col(f"c{at}").cast("string"), F.lit(""))))
+    inner = inner.withColumn("key", row_key(F.col(f"c{names.index(id_col)}").cast("long"), F.col(f"c{at}")))
     joined = inner.join(maybe_broadcast(added, MAX_BROADCAST), "key", "left").drop("key")
     schema = T.StructType([T.StructField(f"c{i}", T.StringType() if i == at else f.dataType, True) for i, f in enumerate(docs.schema.fields)])
 

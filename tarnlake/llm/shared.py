@@ -8,14 +8,17 @@ parameter of the operator.
 from __future__ import annotations
 
 import os
+import shutil
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tarnlake.sources.staging import materialize, shared_dir  # noqa: F401  operators import them from here
+from tarnlake.sources.staging import materialize, one_process, shared_dir  # noqa: F401  operators import them from here
 
 #: The repository, so that Python workers started elsewhere can import the package.
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -28,12 +31,31 @@ BATCH_ROWS = 1000
 _LEAN = {"MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_TRIM_THRESHOLD_": "131072", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 
 
+_shipped: set[str] = set()  #: applications that have the package
+
+
+def _ship(spark: SparkSession) -> None:
+    """Give the package to the executors: by path where they are this process, else as an archive."""
+    env = spark.sparkContext.environment
+    if one_process(spark):
+        paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+        if _ROOT not in paths:
+            env["PYTHONPATH"] = os.pathsep.join([_ROOT, *paths])
+    elif spark.sparkContext.applicationId not in _shipped:
+        with tempfile.TemporaryDirectory() as folder:  # the driver's file server keeps a copy
+            package = os.path.join(_ROOT, "tarnlake")
+            spark.sparkContext.addPyFile(shutil.make_archive(os.path.join(folder, "tarnlake"), "zip", _ROOT, os.path.basename(package)))
+        _shipped.add(spark.sparkContext.applicationId)
+
+
 def prepare(spark: SparkSession, lean: bool = True) -> None:
-    """Let Python workers import this package when it runs from a source tree, and bound their memory."""
+    """Let Python workers import this package, and bound their memory.
+
+    This sets the session's Arrow batch size (at most ``BATCH_ROWS``) and, in workers started later,
+    allocator settings.
+    """
+    _ship(spark)
     env = spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if _ROOT not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([_ROOT, *paths])
     if lean:
         env.update({k: v for k, v in _LEAN.items() if k not in env})
     if int(spark.conf.get(_BATCH_ROWS)) > BATCH_ROWS:  # whole texts are large rows
@@ -45,9 +67,25 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def maybe_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Mark ``df`` for broadcast only if it was counted to have at most ``max_rows`` rows."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+MAX_BROADCAST_BYTES = 64_000_000
+
+_FIXED = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType)
+
+
+def maybe_broadcast(df: DataFrame, max_rows: int, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """Mark ``df`` for broadcast only if it was counted to have at most ``max_rows`` rows and ``max_bytes``, as JSON or 8 bytes a number."""
+    some = df.limit(max_rows + 1)
+    wide = [f.name for f in df.schema if not isinstance(f.dataType, _FIXED)]
+    size = F.lit(16 + 8 * len(df.columns))
+    if wide:
+        size = size + F.octet_length(F.to_json(F.struct(*[f"`{c}`" for c in wide])))
+    rows, total = some.agg(F.count("*"), F.sum(size)).first()
+    return F.broadcast(df) if rows <= max_rows and (total or 0) <= max_bytes else df
+
+
+def row_key(doc_id: Column, text: Column) -> Column:
+    """128 bits that name a row's content (null text read as empty)."""
+    return F.unhex(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.coalesce(text.cast("string"), F.lit("")))))
 
 
 def crc32_mod(doc_id: Column, modulus: int) -> Column:
@@ -56,7 +94,7 @@ def crc32_mod(doc_id: Column, modulus: int) -> Column:
 
 
 MAX_REGIONS = 256  #: quantile bounds of ordered_shards
-MAX_PARTS = 128  #: equal-width parts of a region
+MAX_PARTS = 400  #: equal-width parts of a region; with all regions about as many tasks as a stage bears
 
 
 def ordered_shards(df: DataFrame, key: str, bytes_per_shard: int, size: Column) -> tuple[DataFrame, int]:

@@ -31,6 +31,7 @@ from tarnlake.llm.shared import column, materialize, prepare, slices, texts
 
 _MARK = "▁"
 HOT_SIZE = 200_000  #: most rows of the broadcast half
+HOT_LENGTH = 64  #: characters of a pre-token in it, at most, so that its size is bounded
 HOT_SAMPLE = 12_000  #: documents looked at to choose it; no effect on any count
 
 
@@ -120,7 +121,7 @@ def _frequent(docs: DataFrame, model_path: str, sample: int, size: int) -> dict[
         return {}
     some = docs.sample(fraction=min(1.0, sample / rows), seed=17)
     top = some.select("text").mapInArrow(run, "unit string, f long").groupBy("unit").agg(F.sum("f").alias("f"))
-    top = top.filter("f > 1").orderBy(F.desc("f"), "unit").limit(size)
+    top = top.filter((F.col("f") > 1) & (F.length("unit") <= HOT_LENGTH)).orderBy(F.desc("f"), "unit").limit(size)
     got = count_distinct(top, model_path).toArrow()
     return dict(zip(got["unit"].to_pylist(), got["n"].to_pylist(), strict=True))
 

@@ -109,6 +109,20 @@ def test_language_frame(spark, odd_rows, no_rows):
     assert {r.lang_pred for r in languages.train_and_identify(odd_rows.withColumn("lang", odd_rows.lang.substr(9, 1)).na.replace("", None, ["lang"])).collect()} == {"und"}
 
 
+def test_sample_takes_the_smallest_hashes_of_each_label(spark, monkeypatch):
+    rows = [(f"text {i}", "ab"[i % 2], f"x{i}") for i in range(400)] + [("copied", "a", "y")] * 300 + [("rare", "c", "z"), (None, "a", "q"), ("no label", None, "q")]
+    df = spark.createDataFrame(rows, "text string, label string, more string")
+    plain = languages.training_sample(df, 60)
+    assert len(plain) == 41 and sorted(r.label for r in plain) == ["a"] * 20 + ["b"] * 20 + ["c"]
+    assert len({r.text for r in plain}) == 41
+    for n in (10**10, 1):  # estimates, however wrong, do not change the sample
+        monkeypatch.setattr(languages, "label_counts", lambda rows, most, n=n: [("a", n), ("b", n), ("c", n)])
+        assert languages.training_sample(df, 60) == plain
+    monkeypatch.undo()
+    assert {r.label for r in languages.training_sample(df, 2)} == {"a", "b"}  # more labels than places
+    assert languages.training_sample(df.filter("false"), 9) == []
+
+
 # -- op 8 -----------------------------------------------------------------------
 
 URLS = [

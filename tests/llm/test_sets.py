@@ -102,7 +102,7 @@ def test_against_duckdb(spark, data, name):
 # -- op 2 -----------------------------------------------------------------------
 
 
-def brute_contamination(docs, items, window=13):
+def contaminations(docs, items, window=13):
     out = []
     known = {(i.item_id, tuple(words(i.text))) for i in items if i.item_id is not None}
     for d in docs:
@@ -116,7 +116,11 @@ def brute_contamination(docs, items, window=13):
                         found.add(str(item))
         digest = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
         out.append((d.doc_id, len(w), len(hit), len(found), digest, len(hit) > 0 and 20 * len(hit) >= len(w)))
-    return sorted(map(str, out))
+    return out
+
+
+def brute_contamination(docs, items):
+    return sorted(map(str, contaminations(docs, items)))
 
 
 def test_contamination_against_brute_force(spark, odd_rows):
