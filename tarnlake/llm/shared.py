@@ -7,6 +7,7 @@ parameter of the operator.
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -42,9 +43,9 @@ def _ship(spark: SparkSession) -> None:
         if _ROOT not in paths:
             env["PYTHONPATH"] = os.pathsep.join([_ROOT, *paths])
     elif spark.sparkContext.applicationId not in _shipped:
-        with tempfile.TemporaryDirectory() as folder:  # the driver's file server keeps a copy
-            package = os.path.join(_ROOT, "tarnlake")
-            spark.sparkContext.addPyFile(shutil.make_archive(os.path.join(folder, "tarnlake"), "zip", _ROOT, os.path.basename(package)))
+        folder = tempfile.mkdtemp(prefix="tarnlake-")  # of the driver alone, which serves the archive to executors of any time
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        spark.sparkContext.addPyFile(shutil.make_archive(os.path.join(folder, "tarnlake"), "zip", _ROOT, "tarnlake"))
         _shipped.add(spark.sparkContext.applicationId)
 
 
