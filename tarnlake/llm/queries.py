@@ -38,7 +38,7 @@ def op6_language_bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_wavelet_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    return wavelet.digests(wavelet.round_trip(docs, public_tokenizers.path("word_bpe_49k.json")))
+    return wavelet.round_trip(docs, public_tokenizers.path("word_bpe_49k.json"), ids=False)
 
 
 def op8_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:

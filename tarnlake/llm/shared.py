@@ -107,13 +107,14 @@ def ordered_shards(df: DataFrame, key: str, bytes_per_shard: int, size: Column)
     Null keys go to shard 0.  Rows with equal keys share a shard.  Returns the frame
     and the number of shards.
     """
-    total, count, least, most = df.agg(F.sum(size), F.count(F.col(key)), F.min(key), F.max(key)).first()
+    ranks = [i / MAX_REGIONS for i in range(1, MAX_REGIONS)]
+    quantiles = F.percentile_approx(F.col(key), ranks or [0.5], max(10_000, 20 * MAX_REGIONS))
+    total, count, least, most, got = df.agg(F.sum(size), F.count(F.col(key)), F.min(key), F.max(key), quantiles).first()
     wanted = max(1, -(-int(total or 0) // bytes_per_shard))
     if not count or wanted == 1:
         return df.withColumn("_shard", F.lit(0)), 1
     regions = min(wanted, MAX_REGIONS)
-    got = df.agg(F.percentile_approx(F.col(key), [i / regions for i in range(1, regions)] or [0.5], max(10_000, 20 * regions))).first()[0]
-    bounds = sorted(set(got or [])) if regions > 1 else []
+    bounds = sorted({got[i * MAX_REGIONS // regions - 1] for i in range(1, regions)})
     region = _bucket(F.col(key), bounds)
     parts = min(MAX_PARTS, -(-wanted // regions))
     if parts == 1:

@@ -96,8 +96,45 @@ def test_library_encoder(vocabulary):
     path = vocabulary("word_bpe_49k.json")
     own, lib = wavelet.LibraryEncoder(path), Tokenizer.from_file(path)
     texts = odd_texts(1500, 3) + ["Éa, ÉTÉ. straße, naïve"]
-    for t, g in zip(texts, own.encode(texts), strict=True):
-        assert g == packed(lib.encode(t, add_special_tokens=False).ids), t
+    assert own.by_chunk and own.by_letters
+    for again in range(3):  # then from the kept dictionaries, then whole texts
+        own.by_chunk = again < 2
+        ids, counts = own.encode(texts)
+        for t, g in zip(texts, np.split(ids, np.cumsum(counts)[:-1]), strict=True):
+            assert packed(g) == packed(lib.encode(t, add_special_tokens=False).ids), t
+    ids, counts = own.encode([])
+    assert len(ids) == len(counts) == 0
+
+
+def test_encoder_doubts_other_vocabularies(vocabulary):
+    """A vocabulary whose tokens carry spaces is not cut at them."""
+    path = vocabulary("byte_bpe_50k.json")
+    own, lib = wavelet.LibraryEncoder(path), Tokenizer.from_file(path)
+    assert not own.by_chunk
+    texts = odd_texts(100, 4)
+    ids, counts = own.encode(texts)
+    assert [packed(g) for g in np.split(ids, np.cumsum(counts)[:-1])] == [packed(lib.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
+def test_look_ups_read_parts_of_a_file():
+    rng = np.random.default_rng(2)
+    ids = rng.integers(0, 40_000, 3_000_000).astype(np.uint32)
+    data = wavelet.pack([0, 0], ids, [1], np.array([len(ids)]))
+    got = []
+
+    def read(start, size):
+        got.append((start, size))
+        return data[start : start + size]
+
+    m = wavelet.ShardFile(read).matrix
+    assert m.access([1_234_567])[0] == ids[1_234_567]
+    assert len(got) == 2 + m.bits  # header, and one block of each plane
+    token = int(ids[77])
+    where = np.flatnonzero(ids == token)
+    assert m.count(token) == len(where) and m.count(token, 1000, 2_000_000) == ((where >= 1000) & (where < 2_000_000)).sum()
+    assert m.occurrences(token, 2, 3)[0] == where[2]
+    assert sum(s for _, s in got) < 0.9 * len(data)
+    assert (m.occurrences(token) == where).all() and (m.all() == ids).all()
 
 
 @pytest.mark.parametrize("which", ["odd", "data"])
@@ -110,11 +147,11 @@ def test_wavelet_round_trip(spark, monkeypatch, odd_rows, vocabulary, data, whic
     folder = shared_dir(spark, "wm")
     manifest = materialize(wavelet.write(frame, path, folder, 2, shard_bytes=60_000, file_tokens=9_000), "wm-manifest")
     assert which == "odd" or manifest.filter("number > 0").count() > 3
-    got = wavelet.digests(wavelet.read_documents(spark, folder, manifest)).collect()
+    got = wavelet.read_documents(spark, folder, manifest).collect()
     start, want = 0, []
     for r in rows:
         ids = [*lib.encode(r.text or "", add_special_tokens=False).ids, 2]
-        want.append((r.doc_id, start, len(ids), zlib.crc32(packed(ids))))
+        want.append((r.doc_id, start, len(ids), zlib.crc32(packed(ids)), packed(ids)))
         start += len(ids)
     assert [tuple(r) for r in sorted(got, key=lambda r: r.start)] == want
 
