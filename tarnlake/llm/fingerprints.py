@@ -5,9 +5,9 @@ S[i] = sum of c_k * B**k for k < i.  Two spans are equal (up to hash accidents)
 prefix differences agree after shifting, so any span equality takes constant time, and
 the longest common extension of two positions takes a binary search.
 
-A fingerprint is a bounded extract of two such arrays, one of the text and one of the
-reversed text: the values at multiples of a power-of-two stride, at most ``GRID`` each,
-beside the length and the hash of the whole text under two moduli.  Two
+A fingerprint is a bounded extract of the array: the hashes of the prefixes and of the
+suffixes (shifted to place 0) whose lengths are multiples of a power-of-two stride, at most
+``GRID`` each, beside the length and the hash of the whole text under two moduli.  Two
 fingerprints therefore still answer span equality on their common grid, but only where
 nothing before has changed the length.
 
@@ -58,29 +58,41 @@ class _Powers:
 
 
 _P1, _P2 = _Powers(B1, M1), _Powers(B2, M2)
+_INVERSE = _Powers(pow(B1, -1, M1), M1)  #: shifts spans to place 0
 
 
-def prefix_array(codes: np.ndarray, powers: _Powers) -> np.ndarray:
-    """S[0..n] modulo the powers' modulus."""
+def prefix_array(codes: np.ndarray, powers: _Powers, known: np.ndarray | None = None) -> np.ndarray:
+    """S[0..n] modulo the powers' modulus; ``known`` is its beginning, if some other text shares it."""
     m = np.uint64(powers.modulus)
     out = np.zeros(len(codes) + 1, dtype=np.uint64)
-    np.cumsum((codes + np.uint64(1)) * powers(len(codes)) % m, out=out[1:])
-    return out % m
+    at = 0
+    if known is not None:
+        at = len(known) - 1
+        out[: at + 1] = known
+    np.cumsum((codes[at:] + np.uint64(1)) * powers(len(codes))[at:] % m, out=out[at + 1 :])
+    out[at + 1 :] = (out[at + 1 :] + out[at]) % m
+    return out
 
 
 class PrefixHash:
     """Prefix arrays of one text under two moduli."""
 
-    def __init__(self, text: str):
-        self.codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    def __init__(self, text: str | np.ndarray, like: PrefixHash | None = None, upto: int = 0):
+        """``like``: a text with the same first ``upto`` characters, whose arrays need not be computed again."""
+        self.codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) if isinstance(text, str) else text
         self.n = len(self.codes)
-        self.one, self.two = prefix_array(self.codes, _P1), prefix_array(self.codes, _P2)
+        one, two = (like.one[: upto + 1], like.two[: upto + 1]) if like is not None else (None, None)
+        self.one, self.two = prefix_array(self.codes, _P1, one), prefix_array(self.codes, _P2, two)
+
+    def edited(self, following: PrefixHash) -> PrefixHash:
+        """The last quarter replaced by the beginning of ``following``."""
+        cut = self.n // 4
+        return PrefixHash(np.concatenate([self.codes[: self.n - cut], following.codes[:cut]]), self, self.n - cut)
 
     def _span(self, i: int, length: int, room: int) -> tuple[int, int]:
         """The span's hash, shifted so that spans at different places compare."""
-        return tuple(
-            (int(s[i + length]) - int(s[i])) * pow(b, room - i, m) % m for s, b, m in ((self.one, B1, M1), (self.two, B2, M2))
-        )
+        one = (int(self.one[i + length]) - int(self.one[i])) * int(_P1(room + 1)[room - i]) % M1
+        return one, (int(self.two[i + length]) - int(self.two[i])) * int(_P2(room + 1)[room - i]) % M2
 
     def equal(self, i: int, other: PrefixHash, j: int, length: int) -> bool:
         """Whether the spans of ``length`` characters at i here and at j there are equal."""
@@ -122,7 +134,7 @@ class PrefixHash:
         parts = []
         for s, p in ((self.one, _P1), (self.two, _P2)):
             m = np.uint64(p.modulus)
-            shift = p(room + 1)[room - np.arange(start, end - length + 1)]
+            shift = p(room + 1)[room - end + length : room - start + 1][::-1]
             parts.append((s[last] + m - s[first]) % m * shift % m)
         return parts[0] << np.uint64(31) | parts[1]
 
@@ -165,8 +177,23 @@ class PrefixHash:
         return self.common(other) / max(self.n, other.n)
 
 
+def _met(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Places in ``a`` of all hashes that are in ``b`` (and, by chance, of a few others)."""
+    mask = np.uint64((16 << len(b).bit_length()) - 1)
+    seen = np.zeros(int(mask) + 1, dtype=bool)
+    seen[b & mask] = True
+    return np.flatnonzero(seen[a & mask])
+
+
 def _anchors(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of equal hashes: of those that stand once on either side, or if there are none the k-th of either side."""
+    in_b = _met(b, a)
+    in_a = _met(a, b[in_b])  # only what may be equal is sorted
+    left, right = _paired(a[in_a], b[in_b])
+    return in_a[left], in_b[right]
+
+
+def _paired(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     (va, ia, ca), (vb, ib, cb) = (np.unique(x, return_index=True, return_counts=True) for x in (a, b))
     _, at, bt = np.intersect1d(va, vb, assume_unique=True, return_indices=True)
     once = (ca[at] == 1) & (cb[bt] == 1)
@@ -232,8 +259,9 @@ class Fingerprint:
         stride = 1
         while h.n // stride > GRID:
             stride *= 2
-        back = prefix_array(h.codes[::-1], _P1)
-        return cls(h.n, int(h.one[-1]) << 31 | int(h.two[-1]), stride, h.one[::stride].astype(np.int64), back[::stride].astype(np.int64))
+        m, start = np.uint64(M1), np.arange(h.n, -1, -stride)
+        back = (h.one[-1] + m - h.one[start]) % m * _INVERSE(h.n + 1)[start] % m  # of the suffixes, each shifted to place 0
+        return cls(h.n, int(h.one[-1]) << 31 | int(h.two[-1]), stride, h.one[::stride].astype(np.int64), back.astype(np.int64))
 
     def __str__(self) -> str:
         grid = "".join([f"{x:08x}" for x in self.front.tolist()]), "".join([f"{x:08x}" for x in self.back.tolist()])
@@ -256,6 +284,7 @@ class Fingerprint:
         back = [f.back[:: stride // f.stride] for f in (self, other)]
         head, tail = _common(*front), _common(*back)
         cells = min(len(front[0]), len(front[1])) - 1
+        tail = min(tail, cells - head)  # what the beginning has covered does not count twice
         left, right = head, cells - tail
         middle = 0
         if left < right:
@@ -292,9 +321,8 @@ def with_next(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> tuple[DataFram
         return own, shards
     order = sorted(firsts)
     host = dict(zip(order, [order[-1], *order[:-1]], strict=True))  # one entry per shard
-    guests = docs.filter(F.col("doc_id").isin([*firsts.values()])).groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
-    places = docs.sparkSession.createDataFrame([(firsts[s], host[s]) for s in order], "doc_id long, _shard int")
-    guests = guests.join(F.broadcast(places), "doc_id").withColumn("_guest", F.lit(True))
+    places = F.broadcast(docs.sparkSession.createDataFrame([(firsts[s], host[s]) for s in order], "doc_id long, _shard int"))
+    guests = docs.join(places, "doc_id").groupBy("doc_id", "_shard").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).withColumn("_guest", F.lit(True))
     return own.unionByName(guests.select(*own.columns)), shards
 
 
@@ -340,10 +368,9 @@ _ARROW = pa.schema(
 
 
 def _row(doc: int | None, text: str, whole: PrefixHash, mark: Fingerprint, following: str, next_whole: PrefixHash) -> tuple:
-    changed = edited(text, following)
-    changed_whole = PrefixHash(changed)
-    digest = hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest()
-    return doc, len(text), digest, str(mark), str(Fingerprint.of(changed_whole)), whole.likeness(changed_whole), whole.likeness(next_whole)
+    changed = whole.edited(next_whole)
+    digest = hashlib.sha256(edited(text, following).encode("utf-8", "surrogatepass")).hexdigest()
+    return doc, len(text), digest, str(mark), str(Fingerprint.of(changed)), whole.likeness(changed), whole.likeness(next_whole)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

@@ -184,6 +184,23 @@ def test_fingerprint():
     assert f(text).likeness(f("x" + text)) > 0.9  # the common end
     assert f(text).likeness(f(text[:2000] + "#" + text[2001:])) > 0.9
     assert f("").likeness(f("")) == 1.0 and f("").likeness(f("a")) == 0.0
+    for a, b in (("a" * 100, "a" * 50), ("ab" * 3000, "ab" * 1500), ("abc" * 70, "abc" * 7)):  # the overlap of both ends counts once
+        assert f(a).likeness(f(b)) <= len(b) / len(a) and fingerprints.PrefixHash(a).likeness(fingerprints.PrefixHash(b)) == len(b) / len(a)
+
+
+def test_arrays_of_an_edited_text():
+    rnd = random.Random(8)
+    for _ in range(200):
+        a, b = ("".join(rnd.choice("abc😀") for _ in range(rnd.randint(0, 90))) for _ in range(2))
+        x = fingerprints.PrefixHash(a).edited(fingerprints.PrefixHash(b))
+        want = fingerprints.PrefixHash(fingerprints.edited(a, b))
+        assert (x.one == want.one).all() and (x.two == want.two).all() and (x.codes == want.codes).all()
+        assert str(fingerprints.Fingerprint.of(x)) == str(fingerprints.Fingerprint.of(want))
+        # suffix hashes do not depend on what stands before
+        f, g = fingerprints.Fingerprint.of(a), fingerprints.Fingerprint.of(b + a)
+        n = min(len(a), 20)
+        if f.stride == g.stride == 1:
+            assert (f.back[: n + 1] == g.back[: n + 1]).all()
 
 
 def brute_common(a, b):
