@@ -2,34 +2,38 @@
 
 Words are maximal runs outside ``[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`` of the text with A-Z
 lower-cased.  A window is ``WINDOW`` consecutive item words (an item of fewer words is one
-window); it occurs in a document if all its shingles (``SHINGLE`` words) do, at
-consecutive places.  Everything runs in DataFrame functions:
-
-1. One scan of the documents looks every word position's shingle up among the items'
-   shingles (compared word by word, the hash only finds them) and keeps the hits.
-2. Corpus counts of the hits order the shingles by rarity.  Containment is exact, so the
-   necessary prefix of a window is its rarest shingle; windows with a shingle that no
-   document has are out.
-3. A (document, item, offset) is a candidate if it has a prefix shingle of one of the item's windows,
-   subject to the window's length fitting into the document at that offset.
-4. Candidates are verified: runs of consecutive item shingles at least as long as a window
-   are exactly the occurrences, and the words of the runs are the hit words.
-
-Item shingles are broadcast only if counted to be at most ``MAX_BROADCAST``; beyond that the
-same joins shuffle.
+window); as a set it holds its shingles (``SHINGLE`` words).  Everything runs in DataFrame
+functions:
+
+1. One scan of the documents counts the items' shingles over the corpus, by their hashes
+   (equal hashes of different shingles would only blur the order).  The counts order
+   shingles by rarity.
+2. Containment is exact, so the necessary prefix of a window is its rarest shingle; windows
+   with a shingle that no document has are out.  Neighbouring windows of an item with
+   the same prefix form a span, equal spans of several items one row.
+3. A second scan joins the documents' shingles with the prefix shingles only.  A
+   candidate (place, span) stays if a window of the span fits into the document there:
+   the bounds on length and position.
+4. A candidate is verified word by word over the span, which has less than two
+   windows' words.  Runs of equal words as long as a window are exactly its occurrences.
+
+The item side is broadcast only if counted to be small, in rows and bytes.  Beyond that the
+same joins shuffle: counts are aggregated before the shuffle, and a place carries no more than the
+``2 * WINDOW`` words around it.
 
 Defined cases: a null text has no words, and null or wordless items no windows; items
 without id are ignored; repeated item rows count once, and an id with two texts owns the windows of
 both; repeated documents and null doc_ids give one row per input row; other columns are
-ignored; without documents the result is empty, without items nothing is hit.
+ignored, whatever their names; without documents the result is empty, without items
+nothing is hit.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnlake.llm.shared import materialize, maybe_broadcast
+from tarnlake.llm.shared import fits_broadcast, materialize, maybe_broadcast
 
 WINDOW = 13
 SHINGLE = 3
@@ -43,68 +47,89 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(text, _UPPER, _LOWER), F.lit(_WORD), F.lit(0))
 
 
-def _key(parts: list[Column]) -> Column:
-    return F.xxhash64(*parts)
+def _shingle_key(array: str, at: Column, q: int) -> Column:
+    """Hash of the ``q`` words from place ``at``; null where the array ends before."""
+    return F.when(at + q <= F.size(array), F.xxhash64(F.lit(q), *[F.get(array, at + k) for k in range(q)]))
 
 
-def item_shingles(items: DataFrame, window: int, shingle: int) -> DataFrame:
-    """``iid, item_id, ipos, n, q, w`` of every item: shingle w (q words) at word ipos of n."""
-    texts = items.filter("item_id is not null").select("item_id", words(F.col("text")).alias("words")).filter(F.size("words") > 0).distinct()
-    texts = texts.withColumn("iid", F.xxhash64("item_id", "words")).withColumn("n", F.size("words"))
-    texts = texts.withColumn("q", F.least(F.lit(shingle), F.col("n")))
-    every = texts.select("iid", "item_id", "n", "q", "words", F.explode(F.sequence(F.lit(0), F.col("n") - F.col("q"))).alias("ipos"))
-    return every.select("iid", "item_id", "n", "q", "ipos", F.slice("words", F.col("ipos") + 1, F.col("q")).alias("w"))
+def _digest(*parts: Column) -> Column:
+    return F.unhex(F.md5(F.concat_ws(" ", *parts)))
 
 
-def shingle_hits(docs: DataFrame, shingles: DataFrame, lengths: list[int]) -> DataFrame:
-    """One scan: ``row, doc_id, n_words, pos, sid`` of positions that begin an item shingle.
+def item_texts(items: DataFrame, window: int, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """``tid, words, n, m, q`` of every different item text (m words a window, q a shingle), and ``tid, item_id``."""
+    split = items.filter("item_id is not null").select("item_id", words(F.col("text")).alias("words")).filter(F.size("words") > 0)
+    split = materialize(split.withColumn("tid", _digest(F.col("words"))), "item-words")
+    size = F.size("words")
+    texts = split.groupBy("tid").agg(F.first("words").alias("words"))
+    texts = texts.select("tid", "words", size.alias("n"), F.least(F.lit(window), size).alias("m"), F.least(F.lit(shingle), size).alias("q"))
+    return materialize(texts, "item-texts"), split.select("tid", "item_id").distinct()
 
-    Position 0 (or null, without words) of every document is always there, with a null
-    sid if nothing begins at it.
-    """
+
+def item_shingles(texts: DataFrame, lengths: list[int]) -> DataFrame:
+    """``tid, n, m, q, ipos, key`` of every shingle of every text."""
+    every = texts.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - F.col("q"))).alias("ipos"))
+    key = F.coalesce(*[F.when(F.col("q") == q, _shingle_key("words", F.col("ipos"), q)) for q in lengths], F.lit(None).cast("long"))
+    return every.select("tid", "n", "m", "q", "ipos", key.alias("key"))
+
+
+def document_shingles(docs: DataFrame, lengths: list[int]) -> DataFrame:
+    """``row, doc_id, words, pos, key``: every place and length of every document, and one row with null pos of a wordless one."""
     doc = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce(words(F.col("text")), F.array().cast("array<string>")).alias("words"))
     at = doc.select("row", "doc_id", "words", F.posexplode_outer("words").alias("pos", "word"))
-    sids = []
-    for q in lengths:
-        parts = [F.col("word"), *[F.get("words", F.col("pos") + k) for k in range(1, q)]]
-        own = shingles.filter(F.col("q") == q).select("sid", _key([F.col("w")[k] for k in range(q)]).alias("key"), *[F.col("w")[k].alias(f"w{k}") for k in range(q)])
-        own = maybe_broadcast(own.withColumnRenamed("sid", f"sid{q}").withColumnRenamed("key", f"key{q}"), MAX_BROADCAST)
-        same = _key(parts) == F.col(f"key{q}")
-        for k, p in enumerate(parts):
-            same = same & (p == F.col(f"w{k}"))
-        at = at.join(own, same, "left").drop(f"key{q}", *[f"w{k}" for k in range(q)])
-        sids.append(F.col(f"sid{q}"))
-    found = F.coalesce(*sids, F.lit(None).cast("long")).isNotNull() if sids else F.lit(False)
-    kept = at.filter(found | F.coalesce(F.col("pos") == 0, F.lit(True)))
-    every = F.array_compact(F.array(*sids)) if sids else F.array().cast("array<bigint>")
-    rows = kept.select("row", "doc_id", F.size("words").alias("n_words"), "pos", F.explode_outer(every).alias("sid"))
-    return rows
-
-
-def occurrences(hits: DataFrame, items: DataFrame, window: int) -> DataFrame:
-    """``row, item_id, low, high``: word ranges of documents covered by occurring windows of items.
-
-    ``hits`` from shingle_hits; ``items`` from item_shingles with ``sid``.
+    keys = [_shingle_key("words", F.col("pos"), q) for q in lengths]
+    key = keys[0] if len(keys) == 1 else F.explode(F.array(*keys)) if keys else F.lit(None).cast("long")
+    return at.select("row", "doc_id", "words", "pos", key.alias("key"))
+
+
+def shingle_counts(docs: DataFrame, keys: DataFrame, lengths: list[int]) -> DataFrame:
+    """``key, df``: how often each of the items' shingles occurs in the corpus."""
+    at = document_shingles(docs, lengths).select("key").filter("key is not null")
+    if fits_broadcast(keys, MAX_BROADCAST):
+        return at.join(F.broadcast(keys), "key", "left_semi").groupBy("key").agg(F.count("*").alias("df"))
+    return at.groupBy("key").agg(F.count("*").alias("df")).join(keys, "key", "left_semi")
+
+
+def prefix_spans(texts: DataFrame, shingles: DataFrame, counts: DataFrame) -> DataFrame:
+    """``key, sid, tid, span, m, at``: per prefix shingle the words of the windows that it stands for, and its place in them."""
+    ranked = shingles.join(maybe_broadcast(counts, MAX_BROADCAST), "key", "left")
+    last = F.col("n") - F.col("m")  # start of the last window
+    first_start, last_start = F.greatest(F.lit(0), F.col("ipos") + F.col("q") - F.col("m")), F.least(F.col("ipos"), last)
+    starts = ranked.select("tid", "m", "q", "df", "key", "ipos", F.explode(F.sequence(first_start, last_start)).alias("start"))
+    windows = starts.groupBy("tid", "start", "m", "q").agg(F.count("df").alias("present"), F.min(F.struct("df", "key", "ipos")).alias("rarest"))
+    windows = windows.filter(F.col("present") == F.col("m") - F.col("q") + 1)
+    spans = windows.groupBy("tid", "m", "rarest.key", "rarest.ipos").agg(F.min("start").alias("low"), F.max("start").alias("high"))
+    spans = spans.join(texts.select("tid", "words"), "tid")
+    span = F.slice("words", F.col("low") + 1, F.col("high") - F.col("low") + F.col("m"))
+    spans = spans.select("key", "tid", span.alias("span"), "m", (F.col("ipos") - F.col("low")).alias("at"))
+    return spans.withColumn("sid", _digest(F.col("at").cast("string"), F.col("m").cast("string"), F.col("span")))
+
+
+def candidates(docs: DataFrame, spans: DataFrame, lengths: list[int], window: int) -> DataFrame:
+    """``row, doc_id, n_words, pos, sid, low, high, occurs``: the join on prefix shingles, and the verified word range of each candidate.
+
+    Every document's place 0 (or null, without words) is there too, with a null sid if nothing begins at it.
     """
-    found = hits.filter("sid is not null")
-    counts = found.groupBy("sid").agg(F.count("*").alias("df"))
-    span = F.least(F.lit(window), F.col("n")) - F.col("q") + 1  # shingles of a window
-    ranked = items.join(maybe_broadcast(counts, MAX_BROADCAST), "sid", "left").withColumn("m", span)
-    # the rarest shingle of each window, which slides over the item; ties by the shingle's place
-    starts = ranked.select("iid", "ipos", "sid", "df", F.explode(F.sequence(F.greatest(F.lit(0), F.col("ipos") - F.col("m") + 1), F.least(F.col("ipos"), F.col("n") - F.col("q") - F.col("m") + 1))).alias("start"), "m", "n", "q")
-    per_window = starts.groupBy("iid", "start", "m", "q").agg(F.count("df").alias("present"), F.min(F.struct("df", "ipos")).alias("first"))
-    prefix = per_window.filter("present = m").groupBy("iid", F.col("first.ipos").alias("ipos")).agg(
-        F.min("start").alias("start_low"), F.max("start").alias("start_high"), F.max(F.col("m") + F.col("q") - 1).alias("length")
-    )
-    marked = items.withColumn("m", span).join(prefix, ["iid", "ipos"], "left")
-    marked = maybe_broadcast(marked.select("sid", "iid", "item_id", "ipos", "m", "q", "start_low", "start_high", "length"), MAX_BROADCAST)
-    joined = found.select("row", "n_words", "pos", "sid").join(marked, "sid").withColumn("offset", F.col("pos") - F.col("ipos"))
-    fits = F.col("start_low").isNotNull() & (F.col("offset") + F.col("start_high") >= 0) & (F.col("offset") + F.col("start_low") + F.col("length") <= F.col("n_words"))
-    place = Window.partitionBy("row", "iid", "offset")
-    checked = joined.withColumn("candidate", F.max(fits).over(place)).filter("candidate")
-    runs = checked.withColumn("run", F.col("ipos") - F.row_number().over(place.orderBy("ipos")))
-    runs = runs.groupBy("row", "iid", "offset", "run").agg(F.first("item_id").alias("item_id"), F.count("*").alias("length"), F.min("pos").alias("low"), (F.max("pos") + F.max("q")).alias("high"), F.max("m").alias("m"))
-    return runs.filter("length >= m").select("row", "item_id", "low", "high")
+    at = document_shingles(docs, lengths).withColumn("n_words", F.size("words"))
+    if fits_broadcast(spans, MAX_BROADCAST):
+        near, spans = at.withColumnsRenamed({"words": "near"}).withColumn("near_pos", F.col("pos")), F.broadcast(spans)
+    else:
+        around = F.slice("words", F.greatest(F.lit(0), F.col("pos") - window) + 1, F.lit(2 * window))
+        near = at.withColumn("near", around).withColumn("near_pos", F.least(F.col("pos"), F.lit(window))).drop("words")
+    joined = near.join(spans, "key", "left").withColumn("offset", F.col("pos") - F.col("at"))
+    fits = (F.col("offset") + F.size("span") - F.col("m") >= 0) & (F.col("offset") + F.col("m") <= F.col("n_words"))
+    joined = joined.withColumn("sid", F.when(fits, F.col("sid"))).filter(F.col("sid").isNotNull() | F.coalesce(F.col("pos") == 0, F.lit(True)))
+    begin = F.col("near_pos") - F.col("at")
+    equal = F.transform(F.sequence(F.lit(0), F.size("span") - 1), lambda i: F.coalesce(F.get("near", begin + i) == F.get("span", i), F.lit(False)))
+    joined = joined.withColumn("equal", F.when(F.col("sid").isNotNull(), equal))
+    # the run of equal words around the prefix shingle, from its nearest differences on either side
+    before = F.array_position(F.reverse(F.slice("equal", F.lit(1), F.col("at"))), False)
+    after = F.array_position(F.slice("equal", F.col("at") + 1, F.size("equal")), False)
+    low = F.when(before > 0, F.col("at") - before + 1).otherwise(F.lit(0))
+    high = F.when(after > 0, F.col("at") + after - 1).otherwise(F.size("equal"))
+    ranged = joined.withColumn("from", low.cast("int")).withColumn("to", high.cast("int"))
+    occurs = F.col("sid").isNotNull() & (F.col("to") - F.col("from") >= F.col("m"))
+    return ranged.select("row", "doc_id", "n_words", "pos", "sid", (F.col("offset") + F.col("from")).alias("low"), (F.col("offset") + F.col("to")).alias("high"), occurs.alias("occurs"))
 
 
 def _covered(ranges: Column) -> Column:
@@ -121,20 +146,22 @@ def _covered(ranges: Column) -> Column:
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
     """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` of every document, and ``items``, the ids."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    known = item_shingles(items.select("item_id", F.col("text").cast("string").alias("text")), window, shingle)
-    distinct = known.select("q", "w").distinct().withColumn("sid", F.monotonically_increasing_id())
-    distinct = materialize(distinct, "item-shingles")  # fixes the numbers
-    known = materialize(known.join(maybe_broadcast(distinct, MAX_BROADCAST), ["q", "w"]).drop("w"), "items")
-    lengths = sorted(r["q"] for r in distinct.select("q").distinct().collect())
-    hits = materialize(shingle_hits(docs, distinct, lengths), "shingle-hits")
-    ranges = occurrences(hits, known, window)
-    per_doc = ranges.groupBy("row").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("low").cast("int").alias("low"), F.col("high").cast("int").alias("high")))).alias("ranges"),
-        F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"),
-    )
-    per_doc = per_doc.select("row", "items", _covered(F.col("ranges")).alias("n_hit"))
-    base = hits.filter("pos is null or pos = 0").select("row", "doc_id", F.col("n_words").cast("long").alias("n_words")).dropDuplicates(["row"])
-    out = base.join(per_doc, "row", "left").select(
+    texts, owners = item_texts(items.select("item_id", F.col("text").cast("string").alias("text")), window, shingle)
+    lengths = sorted(r["q"] for r in texts.select("q").distinct().collect())  # 1 to ``shingle``
+    shingles = materialize(item_shingles(texts, lengths), "item-shingles")
+    keys = materialize(shingles.select("key").distinct(), "item-keys")
+    counts = materialize(shingle_counts(docs, keys, lengths), "shingle-counts")
+    spans = materialize(prefix_spans(texts, shingles, counts), "spans")
+    distinct = materialize(spans.select("key", "sid", "span", "m", "at").dropDuplicates(["sid"]), "distinct-spans")
+    found = materialize(candidates(docs, distinct, lengths, window), "candidates")
+    hits = found.filter("occurs")
+    ranges = hits.groupBy("row").agg(F.array_sort(F.collect_set(F.struct(F.col("low").cast("int").alias("low"), F.col("high").cast("int").alias("high")))).alias("ranges"))
+    ranges = ranges.select("row", _covered(F.col("ranges")).alias("n_hit"))
+    owned = spans.select("sid", "tid").join(owners, "tid").select("sid", F.col("item_id").cast("string").alias("item_id")).distinct()
+    owned = maybe_broadcast(materialize(owned, "span-owners"), MAX_BROADCAST)
+    items_of = hits.select("row", "sid").distinct().join(owned, "sid").groupBy("row").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    base = found.filter("pos is null or pos = 0").select("row", "doc_id", F.col("n_words").cast("long").alias("n_words")).dropDuplicates(["row"])
+    out = base.join(ranges, "row", "left").join(items_of, "row", "left").select(
         "doc_id",
         "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),

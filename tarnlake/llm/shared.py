@@ -73,15 +73,20 @@ MAX_BROADCAST_BYTES = 64_000_000
 _FIXED = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType)
 
 
-def maybe_broadcast(df: DataFrame, max_rows: int, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
-    """Mark ``df`` for broadcast only if it was counted to have at most ``max_rows`` rows and ``max_bytes``, as JSON or 8 bytes a number."""
+def fits_broadcast(df: DataFrame, max_rows: int, max_bytes: int = MAX_BROADCAST_BYTES) -> bool:
+    """Whether ``df`` was counted to have at most ``max_rows`` rows and ``max_bytes``, as JSON or 8 bytes a number."""
     some = df.limit(max_rows + 1)
     wide = [f.name for f in df.schema if not isinstance(f.dataType, _FIXED)]
     size = F.lit(16 + 8 * len(df.columns))
     if wide:
         size = size + F.octet_length(F.to_json(F.struct(*[f"`{c}`" for c in wide])))
     rows, total = some.agg(F.count("*"), F.sum(size)).first()
-    return F.broadcast(df) if rows <= max_rows and (total or 0) <= max_bytes else df
+    return rows <= max_rows and (total or 0) <= max_bytes
+
+
+def maybe_broadcast(df: DataFrame, max_rows: int, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """Mark ``df`` for broadcast only if it fits; see ``fits_broadcast``."""
+    return F.broadcast(df) if fits_broadcast(df, max_rows, max_bytes) else df
 
 
 def row_key(doc_id: Column, text: Column) -> Column:

@@ -135,6 +135,29 @@ def test_contamination_against_brute_force(spark, odd_rows):
     assert sorted(str(tuple(r)) for r in got.collect()) == brute_contamination(docs.collect(), bench.collect())
 
 
+def test_candidates_follow_rare_shingles(spark):
+    """A shingle that all items and documents hold many times is no prefix, so it makes no candidates."""
+    common = "and of the and of the and of the"
+    items = [(i, f"a{i} b{i} c{i} d{i} {common} e{i}") for i in range(300)]
+    texts = [(d, f"{common} " * 30 + f"x{d} {common}") for d in range(50)] + [(100, f"start {items[7][1]} end"), (101, f"a9 b9 c9 d9 {common} changed")]
+    docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.contamination(docs, bench).drop("items")
+    assert sorted(str(tuple(r)) for r in got.collect()) == brute_contamination(docs.collect(), bench.collect())
+    known, _ = decontaminate.item_texts(bench, 13, 3)
+    shingles = decontaminate.item_shingles(known, [3])
+    counts = decontaminate.shingle_counts(docs, shingles.select("key").distinct(), [3])
+    assert counts.agg({"df": "max"}).first()[0] > 4000
+    spans = decontaminate.prefix_spans(known, shingles, counts)
+    assert decontaminate.candidates(docs, spans.drop("tid"), [3], 13).filter("sid is not null").count() < 10
+
+
+def test_contamination_clashing_columns(spark, odd_rows):
+    bench = spark.createDataFrame([(1, "the lazy dog", "x", 2, 3)], "item_id long, text string, doc_id string, row int, words int")
+    clash = odd_rows.selectExpr("*", "1 as row", "2 as words", "3 as key", "4 as item_id", "5 as n_words", "6 as sid")
+    got = decontaminate.contamination(clash, bench).drop("items")
+    assert sorted(str(tuple(r)) for r in got.collect()) == brute_contamination(odd_rows.collect(), bench.collect())
+
+
 def test_contamination_of_empty_tables(spark, odd_rows, no_rows):
     bench = spark.createDataFrame([(1, "the lazy dog")], "item_id long, text string")
     assert decontaminate.contamination(no_rows, bench).count() == 0
