@@ -4,8 +4,10 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
-from tests.llm.test_sets import brute_contamination, brute_spans, grams
+from tests.llm.test_sets import brute_spans, contaminations, grams
+from tests.oracle import same
 
 import corpus_pipeline
 from tarnlake.llm import languages, toxicity, urls
@@ -155,22 +157,84 @@ def test_url_rules(spark):
     assert {r.verdict for r in urls.judge(plain).collect()} == {"allow"}
 
 
-def test_trees_learn():
-    rnd = random.Random(8)
-    rows, truth = [], []
-    for _ in range(2000):
-        bad = rnd.random() < 0.4
-        path = "/".join("".join(rnd.choice("0123456789" if bad and rnd.random() < 0.7 else "abcdef") for _ in range(6)) for _ in range(rnd.randint(1, 4)))
-        host = f"h{rnd.randrange(50)}.org"
-        rows.append((f"http://{host}/{path}", host, f"/{path}"))
-        truth.append(float(bad))
-    model = urls.Trees().fit(rows[:1500], np.array(truth[:1500]))
-    assert ((model.score(rows[1500:]) >= 0.5) == np.array(truth[1500:])).mean() > 0.85
+def test_features_against_python(spark, odd_rows):
+    urls_ = [u[0] for u in URLS] + ["http://h.org/a//b.c?x=1&y=2#z", "https://a-b_c.d.net/%7e~/", "http://é.org/ü?&&", "x" * 5000 + "://q/1"]
+    frame = spark.createDataFrame([(i, u) for i, u in enumerate(urls_)], "page_id long, url string")
+    for r in urls.featured(frame).collect():
+        u, n = r.url, len(r.url)
+        query = u.partition("#")[0].partition("?")[2]
+        entropy = -sum(c / n * np.log2(c / n) for c in (u.count(x) for x in set(u))) if n else 0.0
+        want = [n, len(r.host), len(r.path), r.host.count(".") + 1 if r.host else 0, sum(1 for p in r.path.split("/") if p)]
+        want += [sum(x in "0123456789" for x in u) / max(1, n), entropy, query.count("&") + 1 if query else 0, len(query), "#" in u, "." in r.path.rpartition("/")[2], r.path.endswith("/")]
+        want += [u.count(m) for m in "-_.=%~"]
+        assert np.allclose([v for k, v in r.asDict().items() if k.startswith("x_")], want), u
+        assert (r.k_suffix_1, r.k_suffix_2) == (r.host.split(".")[-1], ".".join(r.host.split(".")[-2:]))
+        assert r.k_segment == (r.path.split("/") + [""])[1 if "/" in r.path else 0]
 
 
-def test_verdicts_on_pages(spark, data):
-    got = urls.judge(read(spark, data, "pages")).collect()
-    assert len(got) == read(spark, data, "pages").count() and {r.verdict for r in got} <= {"allow", "block"}
+def invented_urls(n, hosts, seed):
+    """URLs of two rules' hosts, of equal letters, whose path shows their label."""
+    rnd = random.Random(seed)
+    out = []
+    for _ in range(n):
+        bad = rnd.random() < 0.4
+        letters = "0123456789" if bad and rnd.random() < 0.7 else "abcdef"
+        path = "/".join("".join(rnd.choice(letters) for _ in range(6)) for _ in range(rnd.randint(1, 4)))
+        out.append((f"http://h{rnd.choice(hosts)}.{'evil' if bad else 'live'}.test/{path}", bad))
+    return out
+
+
+def test_verdicts_of_hosts_kept_apart(spark):
+    """Trees fitted on the rules' hosts judge other hosts by their lexical form."""
+    rules = [("evil.test", "/", "block"), ("live.test", "/", "allow")]
+    known = [u for u, _ in invented_urls(1500, range(10, 60), 8)]
+    others = [(u.replace(".evil.", ".vile.").replace(".live.", ".vile.").replace(".test", ".sett"), bad) for u, bad in invented_urls(500, range(90, 99), 9)]
+    frame = spark.createDataFrame([(i, u) for i, u in enumerate(known + [u for u, _ in others])], "page_id long, url string")
+    got = {r.page_id: r for r in urls.judge(frame, rules).collect()}
+    assert all(got[i].verdict == ("block" if ".evil." in u else "allow") and got[i].score == (".evil." in u) for i, u in enumerate(known))
+    judged = [got[len(known) + i] for i in range(len(others))]
+    assert np.mean([(r.verdict == "block") == bad for r, (_, bad) in zip(judged, others, strict=True)]) > 0.83  # 0.88 can be known
+    scores = np.array([r.score for r in judged])
+    assert len(set(scores.round(3).tolist())) > 5 and abs(scores.mean() - np.mean([bad for _, bad in others])) < 0.06  # calibrated
+
+
+def test_suffix_rates():
+    rates = urls.SuffixRates(["com"] * 4 + ["net"] * 4, np.array([0.0] * 4 + [1.0] * 3 + [0.0]), 0.4)
+    got = rates(pa.array(["com", "net", "org", None]))
+    assert np.allclose(got, [[2 / 9, np.log(5)], [5 / 9, np.log(5)], [0.4, 0], [0.4, 0]]) and np.allclose(rates.withheld(1), [[0.4, 0]])
+
+
+def test_verdicts_on_pages(spark):
+    pages = read(spark, DATA, "pages")
+    got = urls.judge(pages).collect()
+    assert len(got) == pages.count() and {r.verdict for r in got} == {"allow", "block"}
+    undecided = [r for r in got if r.rule is None]
+    assert len({round(r.score, 3) for r in undecided}) > 5 and {r.verdict for r in undecided} == {"allow", "block"}
+
+
+def test_rules_against_duckdb(spark):
+    same(urls.judge(read(spark, DATA, "pages")).select("page_id", "host", "path", "rule"), RULES_SQL, DATA)
+
+
+#: Host, path and longest fitting rule; the verdict of the other URLs is learnt.
+RULES_SQL = r"""
+WITH p AS (SELECT page_id, CASE WHEN position('://' IN coalesce(url, '')) > 0 THEN url[position('://' IN url) + 3 :] ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS raw, rest FROM p),
+u AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest[len(raw) + 1 :], '^[^?#]*') AS path FROM h),
+rules(rh, rp) AS (VALUES ('com', '/'), ('example.com', '/en/'), ('www.example.com', '/en/'), ('net', '/es/'), ('net', '/fr/')),
+fit AS (SELECT page_id, arg_max(rh || rp, len(rh || rp)) AS rule FROM u, rules WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id)
+SELECT page_id, host, path, rule FROM u LEFT JOIN fit USING (page_id)
+"""
+
+
+def test_odd_pages(spark):
+    """Null ids and URLs, repeated rows, very long URLs, clashing columns."""
+    rows = [(1, "http://a.com/x", 0), (1, "http://a.com/x", 0), (None, "http://b.net/en/1", 0), (2, None, 0), (None, None, 0), (3, "http://c.org/" + "z" * 100_000, 0), (4, "", 0)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, score int").selectExpr("*", "'x' as host", "'y' as verdict", "1.5 as x_length", "'k' as k_segment")
+    got = urls.judge(frame).collect()
+    assert len(got) == len(rows) and sorted(str(r.page_id) for r in got) == sorted(str(r[0]) for r in rows)
+    assert {r.verdict for r in got} == {"allow"}  # one label only
+    assert urls.judge(frame.filter("false")).count() == 0
 
 
 # -- pipeline -------------------------------------------------------------------
@@ -202,8 +266,8 @@ def test_pipeline(spark, odd_rows, no_rows, data, kind):
         elif name == "ngram_jaccard_join":
             want = one_of_each_group(before)
         elif name == "benchmark_decontamination":
-            judged = [eval(x)[-1] for r in before for x in brute_contamination([r], read(spark, data, "benchmark").collect())]  # noqa: S307
-            want = [r for r, bad in zip(before, judged, strict=True) if not bad]
+            items = read(spark, data, "benchmark").collect()
+            want = [r for r in before if not any(hit for _, _, hit, *_ in contaminations([r], items))]
         else:
             clean = [r for r in before if not brute_spans(r.text or "")]
             assert len(after) == len(before)
