@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pandas as pd
 import pytest
+import regex as unicode_re
 from tests.oracle import same
 
 from tarnlake.llm import decontaminate, fingerprints, jaccard, queries, sanitize, shared
@@ -359,6 +360,56 @@ def test_terms_far_from_their_entity(spark):
     assert not any("zorblax" in r.text or "quuxly" in r.text for r in sanitize.redact(docs).collect())
 
 
+def brute_disclosures(texts, support):
+    """{(entity, term): disclosure} from the definition, over distinct texts."""
+    pages = sorted(set(texts))
+    spoken = {p: set(unicode_re.findall(r"\p{L}{2,}", p.lower())) for p in pages}
+    of, contexts = {}, {}
+    for p in pages:
+        spans = brute_spans(p)
+        outside = [m for m in unicode_re.finditer(r"\p{L}{2,}", p) if not any(m.start() < e and s < m.end() for _, s, e in spans)]
+        near = {}
+        for kind, s, e in spans:
+            value = p[s:e].lower() if kind == "email" else re.sub("[^0-9.]" if kind == "ip" else "[^0-9]", "", p[s:e])
+            low, high = max(0, s - sanitize.REACH), min(len(p), e + sanitize.REACH)
+            near.setdefault(f"{kind}:{value}", {})[p[low:high]] = {m[0].lower() for m in outside if m.start() >= low and m.end() <= high}
+        for entity, own in near.items():
+            for t in {m[0].lower() for m in outside}:
+                of.setdefault((entity, t), set()).add(p)
+                close = [c for c, terms in own.items() if t in terms]
+                contexts.setdefault((entity, t), set()).update(close or [("far", p)])
+            of.setdefault(entity, set()).add(p)
+    out = {}
+    for key, held in of.items():
+        if isinstance(key, tuple) and len(contexts[key]) >= support:
+            n_e, n_t = len(of[key[0]]), max(len(held), sum(key[1] in spoken[p] for p in pages))
+            information = -np.log2(n_e / len(pages))
+            out[key] = np.log2(len(held) * len(pages) / (n_t * n_e)) / information if information > 0 else 0.0
+    return out
+
+
+@pytest.mark.parametrize("support", [1, 2, 3])
+def test_disclosures_against_brute_force(spark, support):
+    rnd = random.Random(support)
+    people = [f"p{i}@site.org" for i in range(4)] + ["10.0.0.7"]
+    words = [rnd.choice("abcdef") * 2 + rnd.choice("ghijk") for _ in range(40)]
+    texts = []
+    for _ in range(60):
+        w = [rnd.choice(words) for _ in range(rnd.randint(5, 60))]
+        for who in rnd.sample(people, rnd.choice([0, 0, 1, 1, 2])):
+            w[rnd.randrange(len(w))] = who
+        texts.append(" ".join(w))
+    texts += texts[:10] * 7  # copies
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    rows = sanitize._keyed(docs, "doc_id", "text")
+    got = sanitize.disclosing_terms(rows, sanitize.scan(rows), support, -100.0).collect()
+    want = brute_disclosures(texts, support)
+    # a text whose term stands far off gives one of its contexts, which may be another text's too
+    found = {(r.entity, r.term): r.disclosure for r in got}
+    assert found.keys() <= want.keys() and len(found) >= 0.9 * len(want) and len(found) > 20
+    assert all(abs(found[k] - want[k]) < 1e-9 for k in found)
+
+
 def test_redaction(spark, odd_rows, no_rows):
     out = {r.doc_id: r.text for r in sanitize.redact(fixture(spark)).collect()}
     assert "<EMAIL>" in out[0] and "ann@" not in out[0] and "zorblax" not in out[0] and "common" in out[0]
