@@ -190,7 +190,7 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, support: int = SUPPORT,
     pages = materialize(docs.groupBy("page").agg(F.count("*").alias("copies")), "pages")
     # rows of a text that stands c times weigh 1/c, so that no text has to be shuffled to count it once
     weighed = docs.join(maybe_broadcast(pages.filter("copies > 1"), MAX_COPIED), "page", "left").withColumn("weight", 1 / F.coalesce("copies", F.lit(1)))
-    words = weighed.select("weight", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{2,}"), F.lit(0)))).alias("term"))
+    words = weighed.select("weight", F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda t: F.length(t) > 1))).alias("term"))
     if pairs.isEmpty():  # nothing has the support, so nothing needs counting
         words = words.limit(0)
     n_t = words.join(terms, "term", "left_semi").groupBy("term").agg(F.round(F.sum("weight")).alias("n_t"))
