@@ -35,7 +35,7 @@ _S = r"\p{White_Space}"
 SPLIT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+|{_S}+(?![^{_S}])|{_S}+")
 _NONE = np.int64(2**62)
 _LONG = 128  #: symbols from which a pre-token runs singly
-_CACHE = 150_000  #: entries kept per worker and dictionary
+_CACHE = 80_000  #: entries kept per worker and dictionary
 
 SCHEMA = "doc_id long, ids binary, decoded string"
 
@@ -227,7 +227,7 @@ class Codec:
         low = 1
         leaves = 2
         while leaves <= _LONG:
-            for part in np.array_split(own := np.flatnonzero((size >= low) & (size <= leaves)), max(1, len(own) * leaves // 400_000)):
+            for part in np.array_split(own := np.flatnonzero((size >= low) & (size <= leaves)), max(1, len(own) * leaves // 150_000)):
                 if len(part):
                     n = size[part]
                     flat = self.byte_id[np.frombuffer(b"".join([raw[x] for x in part]), np.uint8)]
@@ -311,7 +311,7 @@ def encode_decode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(vocab_path)
-        for b in slices(batches):
+        for b in slices(batches, rows=256, chars=1_000_000):
             ids = bpe.encode(texts(b))
             yield pa.record_batch(
                 [b.column(0), pa.array(ids, pa.binary()), pa.array([bpe.decode(x) for x in ids], pa.string())],

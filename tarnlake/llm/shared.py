@@ -25,7 +25,7 @@ from tarnlake.sources.staging import materialize, one_process, shared_dir  # noq
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 _BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
-BATCH_ROWS = 1000
+BATCH_ROWS = 250
 
 
 #: Allocator settings of Python workers: freed arrays go back to the system instead of staying with a long-lived worker.
