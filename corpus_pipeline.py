@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kep
 all but the last return the columns of ``docs``.  Names of the input may clash with the
 stages' own: decisions are joined by a key of (doc_id, text), never by the other columns.
 A null doc_id or text, repeated rows, and an empty table pass through every stage as the
-operators' modules define.
+operators' modules define.  A column of the input must not be called ``__stage_key``
+(ValueError).
 """
 
 from __future__ import annotations
@@ -14,18 +15,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnlake.llm import bpe, decontaminate, jaccard, sanitize, toxicity
-from tarnlake.llm.shared import materialize, maybe_broadcast, read, shared_dir
+from tarnlake.llm.shared import materialize, maybe_broadcast, read, row_key, shared_dir
+from tarnlake.sources.staging import scope
 
 MAX_BROADCAST = 200_000  #: keys of rejected documents that are broadcast; more join by shuffle
 _KEY = "__stage_key"
 
 
 def _key() -> Column:
-    return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
+    return row_key(F.col("doc_id").cast("long"), F.col("text"))
 
 
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     """``docs`` less the rows whose key is in ``rejected`` (one column, _KEY)."""
+    if _KEY in docs.columns:
+        raise ValueError(f"a column is called {_KEY}")
     gone = maybe_broadcast(materialize(rejected, "rejected"), MAX_BROADCAST)
     return docs.withColumn(_KEY, _key()).join(gone, _KEY, "left_anti").select(*docs.columns)
 
@@ -45,7 +49,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     grouped = materialize(jaccard.groups(docs).filter("group is not null").select("group", "doc_id", "place"), "groups")
     # a null id comes last; among equal ids with different texts the smallest key stays
-    stay = grouped.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place")).alias("stay"))
+    stay = grouped.groupBy("group").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place")).alias("stay"))
+    stay = materialize(stay.filter("n > 1").drop("n"), "stay")  # written, so that the join can split a large group
     gone = grouped.join(stay, "group").filter("place <> stay.place").select(F.col("place").alias(_KEY)).distinct()
     rest = _without(docs, gone)
     repeats = docs.select(_key().alias(_KEY)).groupBy(_KEY).agg(F.count("*").alias("n")).filter("n > 1")
@@ -55,10 +60,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents contaminated by benchmark items go."""
+    """Documents that hold a window of a benchmark item go, however long they are."""
     keyed = docs.select(_key().alias("doc_id"), "text")
     judged = decontaminate.contamination(keyed, read(spark, sf_dir, "benchmark"))
-    return _without(docs, judged.filter("contaminated").select(F.col("doc_id").alias(_KEY)))
+    return _without(docs, judged.filter("n_hit > 0").select(F.col("doc_id").alias(_KEY)))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -84,10 +89,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written to the shared folder and read again."""
+    """All stages over ``documents``; each result is written to the shared folder and read again.
+
+    What a stage writes besides its result is removed when the result is written.
+    """
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = shared_dir(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scope(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
