@@ -98,6 +98,29 @@ def main() -> None:
 
         took["commit_10k_rows"] = best(commit_10k)
 
+        def commit_each(times: int = 20) -> None:
+            at = next(number)
+            c = Catalog(spark, f"{work}/txn{at}")
+            c.create_table("accounts", ACCOUNTS)
+            m = TransactionManager(c, LogManager(spark, f"{work}/log{at}"))
+            for i in range(times):
+                t = m.begin()
+                m.insert(t, "accounts", (i, "y"))
+                m.commit(t)
+
+        took["commit_1_row_20_times"] = best(commit_each, 1)
+
+        indexed = Catalog(spark, f"{work}/indexed")
+        indexed.create_table("accounts", ACCOUNTS)
+        indexed.create_index("by_id", "accounts", "id")
+        indexed.append("accounts", spark.range(1_000_000).select(((F.col("id") * 7919) % 1_000_000).alias("id"), F.lit("x").alias("name")))
+        began = time.perf_counter()
+        indexed.index("by_id")
+        took["index_layout_1m"] = round(time.perf_counter() - began, 4)
+        took["index_scan_1m"] = best(lambda: drain(indexed.lookup("by_id", 777_777)))
+        took["filter_scan_1m"] = best(lambda: drain(filter_rows(indexed.table("accounts"), cmp(col(0), Op.EQ, const_int(777_777)))))
+        took["index_lookup_50k_of_1m"] = best(lambda: drain(indexed.lookup_many("by_id", spark.range(0, 1_000_000, 20))))
+
         c = Catalog(spark, f"{work}/recover")
         c.create_table("accounts", ACCOUNTS)
         log = LogManager(spark, f"{work}/log0-recover")
@@ -109,7 +132,11 @@ def main() -> None:
         took["recover_100"] = best(lambda: drain(recovery.recover(c, log.records())[0]))
     finally:
         shutil.rmtree(work, ignore_errors=True)
-    print(json.dumps({"metric": "total", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": SF_DIR.rstrip("/").rpartition("sf")[2]}))
+    ratios = {
+        "insert_batching": round(took["commit_1_row_20_times"] / 20 / (took["commit_10k_rows"] / 10_000), 1),
+        "index_over_filter": round(took["filter_scan_1m"] / took["index_scan_1m"], 2),
+    }
+    print(json.dumps({"metric": "total", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "ratios": ratios, "sf": SF_DIR.rstrip("/").rpartition("sf")[2]}))
     spark.stop()
 
 

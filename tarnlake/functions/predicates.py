@@ -128,13 +128,24 @@ def _apply(left: Column, op: Op, right: Column) -> Column:
             return left >= right
 
 
+def column_of(df: DataFrame, ordinal: int) -> Column:
+    """The column at a position; see ``positional`` for frames with equal names."""
+    return F.col(f"`{df.columns[ordinal].replace('`', '``')}`")
+
+
+def positional(df: DataFrame) -> DataFrame:
+    """``df`` itself, or with its columns called by their positions if names are equal (whatever their case)."""
+    names = [c.lower() for c in df.columns]
+    return df if len(set(names)) == len(names) else df.toDF(*[f"_{i}" for i in range(len(names))])
+
+
 def _compile(e: Expr, df: DataFrame, semantics: str) -> _Typed:
     match e:
         case ColumnAt(i):
             fields = df.schema.fields
             if not 0 <= i < len(fields):
                 raise IndexError(f"no column {i} among {len(fields)}")
-            return _Typed(type_id(fields[i].dataType), plain=F.col(f"`{fields[i].name.replace('`', '``')}`"))
+            return _Typed(type_id(fields[i].dataType), plain=column_of(df, i))
         case Constant(str() as v):
             return _Typed(TypeId.VARCHAR, plain=F.lit(v))
         case Constant(v):
@@ -162,7 +173,7 @@ def _comparison(x: _Typed, op: Op, y: _Typed, right: Expr, semantics: str) -> Co
 
 
 def compile_predicate(e: Expr, df: DataFrame, semantics: str = "exact") -> Column:
-    """The boolean column that is true where ``e`` is."""
+    """The boolean column that is true where ``e`` is; a frame with equal names must have gone through ``positional``."""
     if semantics not in ("exact", "sql"):
         raise ValueError(f"semantics is exact or sql, not {semantics}")
     return _compile(e, df, semantics).truth

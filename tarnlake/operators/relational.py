@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnlake.functions.predicates import Expr, compile_predicate
+from tarnlake.functions.predicates import Expr, column_of, compile_predicate, positional
 from tarnlake.schema import TypeId, type_id
 
 
@@ -23,22 +23,27 @@ class SortKey:
 
 
 def column_at(df: DataFrame, ordinal: int) -> Column:
-    names = df.columns
-    if not 0 <= ordinal < len(names):
-        raise IndexError(f"no column {ordinal} among {len(names)}")
-    return F.col(f"`{names[ordinal].replace('`', '``')}`")
+    if not 0 <= ordinal < len(df.columns):
+        raise IndexError(f"no column {ordinal} among {len(df.columns)}")
+    return column_of(df, ordinal)
+
+
+def _renamed(df: DataFrame, like: DataFrame) -> DataFrame:
+    return df if df.columns == like.columns else df.toDF(*like.columns)
 
 
 def filter_rows(df: DataFrame, predicate: Expr, semantics: str = "exact") -> DataFrame:
-    """Rows for which the predicate is true; the schema is unchanged."""
-    return df.filter(compile_predicate(predicate, df, semantics))
+    """Rows for which the predicate is true; the schema is unchanged, and its names may be equal."""
+    own = positional(df)
+    return _renamed(own.filter(compile_predicate(predicate, own, semantics)), df)
 
 
 def sort_rows(df: DataFrame, keys: Sequence[SortKey]) -> DataFrame:
     """Rows in lexicographic order of the keys (strings bytewise); ties in any order; without keys unchanged."""
     if not keys:
         return df
-    return df.orderBy(*[column_at(df, k.ordinal).asc() if k.ascending else column_at(df, k.ordinal).desc() for k in keys])
+    own = positional(df)
+    return _renamed(own.orderBy(*[column_at(own, k.ordinal).asc() if k.ascending else column_at(own, k.ordinal).desc() for k in keys]), df)
 
 
 def merge_join(left: DataFrame, right: DataFrame, left_key: int, right_key: int, semantics: str = "sql") -> DataFrame:
@@ -101,7 +106,7 @@ def index_entries(df: DataFrame, key: int, order: str | Column = "_rid") -> Data
 def first_per_key(df: DataFrame, key: int, order: str | Column = "_rid") -> DataFrame:
     """Every key's first inserted row, as all point lookups at once."""
     place = F.col(order) if isinstance(order, str) else order
-    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    row = F.struct(*[column_of(df, i) for i in range(len(df.columns))])
     return df.groupBy(column_at(df, key).alias("_key")).agg(F.min_by(row, place).alias("_row")).select("_row.*")
 
 

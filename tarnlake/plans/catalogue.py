@@ -10,8 +10,13 @@ from pyspark.sql import functions as F
 from tarnlake.functions.predicates import Expr, Op, and_, cmp, col, compile_value, const_int, const_str, not_, or_
 from tarnlake.operators.relational import SortKey, filter_rows, first_per_key, index_entries, index_scan, lookup_many, merge_join, range_scan, row_count, sort_rows, with_rid
 from tarnlake.plans import recovery
-from tarnlake.sources.log import RecordType
-from tarnlake.sources.staging import materialize
+from tarnlake.schema import Schema, TypeId
+from tarnlake.sources.catalog import Catalog
+from tarnlake.sources.log import LogManager, RecordType
+from tarnlake.sources.staging import materialize, shared_dir
+from tarnlake.sources.transactions import TransactionManager
+
+_NATIONS = Schema([("id", TypeId.INTEGER), ("name", TypeId.VARCHAR)])
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -117,7 +122,7 @@ def _session_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _lookup_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scan_in_order(spark, sf_dir, "events")
-    keys = scan(spark, sf_dir, "customer").filter("c_custkey % 3 = 0").select("c_custkey")
+    keys = scan(spark, sf_dir, "customer").select("c_custkey")
     return lookup_many(rows, EVENT["user"], keys).select("event_id", "user_id", "event_type")
 
 
@@ -130,6 +135,53 @@ def _index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries.select(F.col("key").alias("user_id"), F.col("rid").alias("first_event"))
 
 
+def _recovered(spark: SparkSession, sf_dir: str) -> str:
+    """A catalog's folder after recovery: each region's nations were one transaction, and region 3's never committed."""
+    root = shared_dir(spark, "catalog")
+    log = LogManager(spark, f"{root}/log")
+    lost = Catalog(spark, f"{root}/lost")
+    lost.create_table("nations", _NATIONS)
+    manager = TransactionManager(lost, log)
+    rows = scan(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey").orderBy("n_nationkey").collect()  # a fixed, small table
+    for region in sorted({r["n_regionkey"] for r in rows}):
+        t = manager.begin()
+        for r in rows:
+            if r["n_regionkey"] == region:
+                manager.insert(t, "nations", (r["n_nationkey"], r["n_name"]))
+        if region != 3:
+            log.append(t.id, RecordType.COMMIT)  # the crash comes before any row is published
+    log.flush()
+    again = Catalog(spark, f"{root}/data")
+    again.create_table("nations", _NATIONS)
+    recovery.recover(again, log.records())
+    return f"{root}/data"
+
+
+def _recover_reopen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a catalog that is opened after recovery shows."""
+    opened = Catalog(spark, _recovered(spark, sf_dir))
+    opened.create_table("nations", _NATIONS)
+    return opened.table("nations")
+
+
+def _index_after_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Look-ups of all keys after recovery and later rows of the same keys: the recovered ones come first."""
+    opened = Catalog(spark, _recovered(spark, sf_dir))
+    opened.create_table("nations", _NATIONS)
+    opened.create_index("by_key", "nations", "id")
+    opened.append("nations", scan(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.lit("later").alias("name")))
+    return opened.lookup_many("by_key", scan(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long")))
+
+
+def _equal_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A chain of three joins whose columns share names, filtered and sorted by position."""
+    nations = scan(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("id"), F.col("n_nationkey").alias("r_id"))
+    once = merge_join(nations, scan(spark, sf_dir, "region").select(F.col("r_regionkey").alias("id")), 0, 0)  # id, r_id, r_id
+    twice = merge_join(scan(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("id"), F.col("c_custkey").alias("r_r_id")), once, 0, 1)
+    kept = filter_rows(twice, and_(cmp(col(4), Op.LT, const_int(3)), cmp(col(1), Op.NE, const_int(7))))
+    return sort_rows(kept, [SortKey(4, False), SortKey(1)]).toDF("nation", "customer", "region", "nation_again", "region_again")
+
+
 def _empty(df: DataFrame) -> DataFrame:
     return df.filter(F.lit(False))
 
@@ -173,6 +225,9 @@ QUERIES: dict[str, Query] = {
     "recover_stats": lambda s, d: recovery.stats(derived_log(s, d), ["lineitem"]),
     "recover_missing_table": lambda s, d: recovery.stats(derived_log(s, d), ["accounts"]),
     "session_view": _session_view,
+    "catalog_recover_reopen": _recover_reopen,
+    "catalog_index_after_recovery": _index_after_recovery,
+    "join_equal_names": _equal_names,
 }
 
 _RANGE = "CAST(row_number() OVER (ORDER BY {}) AS BIGINT) AS rank"
@@ -203,7 +258,7 @@ ORACLES: dict[str, str] = {
     "index_duplicate_key": "SELECT * FROM events WHERE user_id = 5 ORDER BY event_id LIMIT 1",
     "index_first_wins": "SELECT event_id, user_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1",
     "index_build": "SELECT user_id, min(event_id) AS first_event FROM events GROUP BY user_id",
-    "index_lookup_many": """SELECT event_id, user_id, event_type FROM events WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0)
+    "index_lookup_many": """SELECT event_id, user_id, event_type FROM events WHERE user_id IN (SELECT c_custkey FROM customer)
         QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1""",
     "range_scan": "SELECT * FROM orders WHERE o_orderkey BETWEEN 100 AND 900",
     "sort_multi": f"SELECT o_orderkey, o_custkey, o_orderstatus, {_RANGE.format('o_orderstatus, o_custkey DESC, o_orderkey')} FROM orders",
@@ -220,5 +275,9 @@ ORACLES: dict[str, str] = {
     "recover_rows": "SELECT l_orderkey AS txn_id, l_partkey, l_linenumber, l_quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F'",
     "recover_stats": _LOG_SQL.format(redone="sum(CASE WHEN c = 1 THEN i ELSE 0 END)"),
     "recover_missing_table": _LOG_SQL.format(redone="sum(0)"),
+    "catalog_recover_reopen": "SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS name FROM nation WHERE n_regionkey <> 3",
+    "catalog_index_after_recovery": "SELECT CAST(n_nationkey AS BIGINT) AS id, CASE WHEN n_regionkey <> 3 THEN n_name ELSE 'later' END AS name FROM nation",
+    "join_equal_names": """SELECT c_nationkey AS nation, c_custkey AS customer, n_regionkey AS region, n_nationkey AS nation_again, r_regionkey AS region_again
+        FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_regionkey < 3 AND c_custkey <> 7""",
     "session_view": "SELECT l_orderkey AS txn_id, count(*) AS rows FROM lineitem GROUP BY l_orderkey",
 }

@@ -79,12 +79,15 @@ def decode(records: DataFrame, schema: Schema, strict: bool = True) -> DataFrame
 
 
 def recover(catalog: Catalog, log: DataFrame, strict: bool = True) -> tuple[DataFrame, int]:
-    """Rebuild every table of an empty catalog from the log. Returns the statistics and the next transaction id."""
+    """Rebuild every table of a catalog from the log. Returns the statistics and the next transaction id.
+
+    A table's new content becomes visible as a whole, also to catalogs opened later, and its rows stay
+    before all rows inserted afterwards.
+    """
     tables = [*catalog.tables]
     kept = redo(log, tables).filter(F.length("tuple") <= MAX_ROW_BYTES)
     for name, info in catalog.tables.items():
         rows = decode(kept.filter(F.col("table_name") == name), info.schema, strict).orderBy("pos").drop("pos")
-        rows.write.mode("overwrite").parquet(f"{info.path}/batch=recovered")
-        info.batches[:] = ["recovered"]
+        catalog.rebuild(name, rows)
     last = log.agg(F.max("txn_id")).first()[0]
     return stats(log, tables, F.length("tuple") <= MAX_ROW_BYTES), (last or 0) + 1

@@ -3,7 +3,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tarnlake.operators.relational import SortKey, fetch, first_per_key, index_entries, index_scan, lookup_many, merge_join, range_scan, sort_rows, with_rid
+from tarnlake.functions.predicates import Op, cmp, col, const_str
+from tarnlake.operators.relational import SortKey, fetch, filter_rows, first_per_key, index_entries, index_scan, lookup_many, merge_join, range_scan, sort_rows, with_rid
 
 
 def test_join_duplicates_and_names(spark):
@@ -14,6 +15,15 @@ def test_join_duplicates_and_names(spark):
     assert sorted(tuple(r) for r in out.collect()) == [(1, "a", 1, "x"), (1, "a", 1, "y"), (1, "b", 1, "x"), (1, "b", 1, "y")]
 
 
+def test_equal_names_by_position(spark):
+    left = spark.createDataFrame([(1, "a"), (2, "c")], "id long, r_ID string")
+    right = spark.createDataFrame([(1, "x"), (1, "y"), (2, "z")], "id long, Id string")
+    out = merge_join(left, right, 0, 0)
+    kept = filter_rows(out, cmp(col(3), Op.EQ, const_str("y")))
+    assert kept.columns == out.columns and [tuple(r) for r in kept.collect()] == [(1, "a", 1, "y")]
+    assert [r[3] for r in sort_rows(out, [SortKey(3, False)]).collect()] == ["z", "y", "x"]
+
+
 def test_join_empty_sides(spark):
     some = spark.createDataFrame([(1,)], "k long")
     none = some.filter("k > 5")

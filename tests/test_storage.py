@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tarnlake.plans import recovery
 from tarnlake.schema import MAX_ROW_BYTES, Column, Schema, TypeId
-from tarnlake.sources.catalog import Catalog
+from tarnlake.sources.catalog import Catalog, Rid
 from tarnlake.sources.log import SCHEMA, LogManager, Record, RecordType, read_log, to_bytes
 from tarnlake.sources.transactions import TransactionManager
 
@@ -41,9 +41,12 @@ def test_catalog(spark, tmp_path):
     with pytest.raises(ValueError):
         c.create_table("accounts", ACCOUNTS)
     assert c.get_table("none") is None and c.count_rows("none") == -1 and c.count_rows("accounts") == 0
-    assert c.insert_rows("accounts", [(1, "x"), (1, "y"), (2, "z" * 5000)]) == 2
-    c.append("accounts", spark.range(3, 6).select("id", F.lit("bulk").alias("n")))
     c.create_index("by_id", "accounts", "id")
+    assert c.lookup("by_id", 1).count() == 0 and tuple(c.index_summary("by_id").first()) == (0, None, None)
+    rids = c.insert_rows("accounts", [(1, "x"), (1, "y"), (2, "z" * 5000)])
+    assert [c.fetch("accounts", r) for r in rids[:2]] == [(1, "x"), (1, "y")] and rids[0].place == 0 and rids[2] is None
+    c.append("accounts", spark.range(3, 6, 1, 3).select("id", F.lit("bulk").alias("n")))
+    assert [c.fetch("accounts", Rid(c.tables["accounts"].batches[-1], i)) for i in (0, 1, 2, 3)] == [(3, "bulk"), (4, "bulk"), (5, "bulk"), None]
     for bad in (("by_id", "accounts", "id"), ("i2", "none", "id"), ("i3", "accounts", "zz"), ("i4", "accounts", "name")):
         with pytest.raises(ValueError):
             c.create_index(*bad)
@@ -94,6 +97,56 @@ def test_atomicity(spark, tmp_path):
     assert again.committed("accounts").filter(F.col("name").startswith("dirty_")).count() == 0
 
 
+def test_rows_of_a_session_in_its_index(spark, tmp_path):
+    c, log = Catalog(spark, str(tmp_path / "data")), LogManager(spark, str(tmp_path / "log"))
+    c.create_table("accounts", ACCOUNTS)
+    c.create_index("by_id", "accounts", "id")
+    m = TransactionManager(c, log)
+    one, two = m.begin(), m.begin()
+    rids = [m.insert(one, "accounts", (7, "open")), m.insert(two, "accounts", (7, "second")), m.insert(two, "accounts", (8, "eight"))]
+    assert [c.fetch("accounts", r) for r in rids] == [(7, "open"), (7, "second"), (8, "eight")]
+    assert [r.name for r in c.lookup("by_id", 7).collect()] == ["open"] and c.index("by_id").count() == 2
+    m.commit(two)
+    assert [r.name for r in c.lookup("by_id", 7).collect()] == ["second"]  # batches stand before pending rows
+    assert sorted(r.name for r in c.lookup_many("by_id", spark.createDataFrame([(7,), (8,), (9,)], "k long")).collect()) == ["eight", "second"]
+    assert c.count_rows("accounts") == 3 and c.committed("accounts").count() == 2
+
+
+def test_recovered_rows_stay_first_and_durable(spark, tmp_path):
+    c, log = Catalog(spark, str(tmp_path / "data")), LogManager(spark, str(tmp_path / "log"))
+    c.create_table("accounts", ACCOUNTS)
+    m = TransactionManager(c, log)
+    t = m.begin()
+    m.insert(t, "accounts", (1, "first"))
+    m.commit(t)
+    c.insert_rows("accounts", [(9, "never logged")])
+    recovery.recover(c, log.records())
+    c.insert_rows("accounts", [(1, "later"), (2, "two")])
+    for opened in (c, Catalog(spark, str(tmp_path / "data"))):
+        if opened is not c:
+            opened.create_table("accounts", ACCOUNTS)
+        opened.create_index("by_id", "accounts", "id")
+        assert sorted(tuple(r) for r in opened.table("accounts").collect()) == [(1, "first"), (1, "later"), (2, "two")]
+        assert [r.name for r in opened.lookup("by_id", 1).collect()] == ["first"] and opened.lookup("by_id", 9).count() == 0
+
+
+def test_look_ups_read_few_rows(spark, tmp_path):
+    """Entries are sorted by key, so statistics rule out most row groups."""
+    c = Catalog(spark, str(tmp_path))
+    c.create_table("accounts", ACCOUNTS)
+    c.create_index("by_id", "accounts", "id")
+    c.append("accounts", spark.range(400_000).select(((F.col("id") * 7919) % 400_000).alias("id"), F.col("id").cast("string").alias("name")))
+    got = c.lookup("by_id", 123_456)
+    assert got.count() == 1
+    plan = c._indexed(c.indexes["by_id"]).filter(F.col("key") == 123_456)
+    plan.collect()
+    executed = plan._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(key,123456)" in executed
+    leaves = plan._jdf.queryExecution().executedPlan().collectLeaves()
+    read = [leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size())]
+    assert sum(read) < 60_000
+
+
 def test_transaction_states(spark, tmp_path):
     c, log = Catalog(spark, str(tmp_path / "data")), LogManager(spark, str(tmp_path / "log"))
     c.create_table("accounts", ACCOUNTS)
