@@ -142,14 +142,15 @@ def verify(block: pd.DataFrame, threshold: float) -> pd.DataFrame:
     left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
     same = side[0] == 2
     sets = [np.frombuffer(s, "<u8") for s in block["sets"]]
-    size = np.array([len(s) for s in sets], dtype=np.int64)
+    size = np.array([len(s) for s in sets], dtype=np.int32)
     sign = np.stack([np.frombuffer(s, "<i8") for s in block["bands"]])
     band = int(block["band"].iloc[0])
     todo = np.ones((len(left), len(right)), dtype=bool)
     if same:
         todo = np.triu(todo, 1)
-    small, large = np.minimum.outer(size[left], size[right]), np.maximum.outer(size[left], size[right])
-    todo &= small >= threshold * large  # length bound
+    for i in range(0, len(left), 128):  # length bound, in strips that bound memory
+        a, b = size[left[i : i + 128], None], size[right][None, :]
+        todo[i : i + 128] &= np.minimum(a, b) >= threshold * np.maximum(a, b)
     for k in range(band):  # verified in an earlier band
         todo &= sign[left, k][:, None] != sign[right, k][None, :]
     pairs = np.argwhere(todo)
@@ -160,7 +161,7 @@ def verify(block: pd.DataFrame, threshold: float) -> pd.DataFrame:
     else:
         common = _overlaps([sets[i] for i in left], [sets[j] for j in right])[pairs[:, 0], pairs[:, 1]]
     a, b = left[pairs[:, 0]], right[pairs[:, 1]]
-    total = size[a] + size[b] - common
+    total = size[a].astype(np.int64) + size[b] - common
     # exact comparison of common / total with the threshold, in thousandths
     linked = common * 1000 >= round(threshold * 1000) * total
     a, b = a[linked], b[linked]
@@ -189,18 +190,20 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """Sizes of all intersections, as products of 0/1 matrices over slices of the shared n-grams."""
     lv, rv = np.concatenate(left), np.concatenate(right)
     shared = np.intersect1d(np.unique(lv), np.unique(rv), assume_unique=True)
-    lo, ro = (np.repeat(np.arange(len(s)), [*map(len, s)]) for s in (left, right))
+    lo, ro = (np.repeat(np.arange(len(s), dtype=np.int32), [*map(len, s)]) for s in (left, right))
 
     def coordinates(values: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.searchsorted(shared, values)
+        at = np.searchsorted(shared, values).astype(np.int32)
         ok = at < len(shared)
         ok[ok] = shared[at[ok]] == values[ok]
-        order = np.argsort(at[ok], kind="stable")
-        return at[ok][order], owner[ok][order]
+        at, owner = at[ok], owner[ok]
+        order = np.argsort(at, kind="stable")
+        return at[order], owner[order]
 
     (lc, lo), (rc, ro) = coordinates(lv, lo), coordinates(rv, ro)
     out = np.zeros((len(left), len(right)), dtype=np.float32)
-    step = 4096
+    del lv, rv
+    step = 1024
     for base in range(0, len(shared), step):
         parts = []
         for c, o, n in ((lc, lo, len(left)), (rc, ro, len(right))):
@@ -209,7 +212,7 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
             m[o[s:e], c[s:e] - base] = 1
             parts.append(m)
         out += parts[0] @ parts[1].T
-    return out.astype(np.int64)
+    return out.astype(np.int32)
 
 
 # -- the join -----------------------------------------------------------------
