@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from tests.llm.test_sets import brute_spans, contaminations, grams
 from tests.oracle import same
 
@@ -73,6 +74,45 @@ def test_toxicity_frame(spark, odd_rows, no_rows):
     assert toxicity.train_and_score(odd_rows, one).count() == odd_rows.count()
 
 
+def test_every_labelled_text_teaches(spark):
+    """A word that only texts with late hashes hold, beyond any few thousand with the first ones."""
+    rnd = random.Random(4)
+    vocab = [f"w{i}" for i in range(300)]
+    rows = [(" ".join(rnd.choices(vocab, k=12)), 0, "xx") for _ in range(2000)]
+    for bad, late in (("vile", False), ("zorg", True)):
+        own = []
+        while len(own) < 1600:
+            text = " ".join(rnd.choices(vocab, k=12) + [bad])
+            if (xxhash.xxh64_intdigest(text, seed=42) < 1 << 63) == late:  # as a signed number, the late ones are positive
+                own.append((text, 1, "xx"))
+        rows += own
+    model = toxicity.train(spark.createDataFrame(rows, "text string, toxic int, lang string"))
+    unseen = [" ".join(rnd.choices(vocab, k=12)) for _ in range(50)]
+    assert (model.scores(unseen) < 0.5).mean() > 0.9
+    assert all((model.scores([f"{t} {bad}" for t in unseen]) >= 0.5).mean() > 0.9 for bad in ("vile", "zorg"))
+
+
+def test_shards_and_partitions(spark, monkeypatch):
+    rows = [(t, y, rnd) for (t, y), rnd in zip(invented(1000), ["xx", "yy", None] * 400, strict=False)]
+    df = spark.createDataFrame(rows[:800], "text string, toxic int, lang string")
+    monkeypatch.setattr(toxicity, "SHARD_CHARS", 50_000)
+    chunks, shards = toxicity._chunks(df.union(df))  # copies teach once
+    assert shards > 3 and chunks.select("shard").distinct().count() == 2 * shards
+    assert chunks.selectExpr("sum(size(toxic))").first()[0] == 800
+    one, other = toxicity.train(df), toxicity.train(df.repartition(7))
+    texts = [t for t, _, _ in rows[800:]]
+    assert (one.scores(texts) == other.scores(texts)).all()
+    assert np.mean((one.scores(texts) >= 0.5) == [y for _, y, _ in rows[800:]]) > 0.9
+    few = spark.createDataFrame([("foul words", 1, "xx"), ("kind words", 0, None), ("more words", 0, "xx")], "text string, toxic int, lang string")
+    assert toxicity.train(few).scores(["foul words"])[0] >= 0.5 > toxicity.train(few).scores(["kind words"])[0]
+
+
+def test_threshold_of_counted_logits():
+    z, toxic, every = np.array([-1.0, 0.0, 2.0, 3.0]), np.array([0, 1, 4, 5]), np.array([50, 9, 4, 5])
+    assert toxicity._threshold(z, toxic, every, 0.0) == 1.0
+    assert toxicity._threshold(z, toxic * 0, every, 0.25) == 0.25
+
+
 # -- op 6 -----------------------------------------------------------------------
 
 
