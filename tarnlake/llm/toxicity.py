@@ -195,7 +195,7 @@ class ToxicityNet:
 
     def scores(self, batch: list[str]) -> np.ndarray:
         if self.constant is not None or not len(batch):
-            return np.full(len(batch), self.constant)
+            return np.full(len(batch), self.constant, dtype=np.float64)
         rows, bounds = places(batch)
         logit = self._logits(self._vectors(rows), bounds).astype(np.float64)
         if self.languages is not None:
