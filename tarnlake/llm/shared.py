@@ -8,6 +8,8 @@ parameter of the operator.
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import os
 import shutil
 import tempfile
@@ -63,6 +65,12 @@ def prepare(spark: SparkSession, lean: bool = True) -> None:
         spark.conf.set(_BATCH_ROWS, str(BATCH_ROWS))
 
 
+def trim() -> None:
+    """Give the system back what this process has freed; without it glibc's malloc keeps arrays of up to 32 MB."""
+    with contextlib.suppress(OSError, AttributeError):  # other systems have no malloc_trim
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A table of the test data as a DataFrame, by whatever file system its path names."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

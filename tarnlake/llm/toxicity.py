@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnlake.llm.shared import column, crc32_mod, materialize, maybe_broadcast, prepare, slices, splitmix, texts
+from tarnlake.llm.shared import column, crc32_mod, materialize, maybe_broadcast, prepare, slices, splitmix, texts, trim
 from tarnlake.llm.words import split
 from tarnlake.sources.staging import scope
 
@@ -484,8 +484,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, Chunk]]
             yield r["shard"], r["chunk"], Chunk(words, np.frombuffer(r["ids"], np.int32), np.frombuffer(r["bounds"], np.int64), np.array(r["toxic"], np.float32), r["lang"])
 
 
-def _added(parts: DataFrame) -> dict[tuple[int, int], np.ndarray]:
-    """Integers of ``net, block, data`` rows, added up on the executors by net and block."""
+def _added(parts: DataFrame, finish: Callable[[int, int, np.ndarray], np.ndarray] = lambda net, block, data: data) -> dict[tuple[int, int], bytes]:
+    """Integers of ``net, block, data`` rows, added up by net and block; the sums go through ``finish`` on the executors, and the driver gets what it gives."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict = {}
@@ -493,13 +493,13 @@ def _added(parts: DataFrame) -> dict[tuple[int, int], np.ndarray]:
             for net, block, data in zip(column(b, "net"), column(b, "block"), b.column(b.schema.get_field_index("data")), strict=True):
                 total[net, block] = total.get((net, block), 0) + np.frombuffer(data.as_buffer(), np.int64)
         for key, data in total.items():
-            yield _part(*key, data)
+            yield _part(*key, finish(*key, data))
 
-    return {(r["net"], r["block"]): np.frombuffer(r["data"], np.int64) for r in parts.repartition("net", "block").mapInArrow(run, parts.schema).collect()}
+    return {(r["net"], r["block"]): r["data"] for r in parts.repartition("net", "block").mapInArrow(run, parts.schema).collect()}
 
 
 def _part(net: int, block: int, data: np.ndarray) -> pa.RecordBatch:
-    return pa.record_batch([pa.array([net], pa.int32()), pa.array([block], pa.int32()), pa.array([data.astype(np.int64).tobytes()], pa.binary())], names=["net", "block", "data"])
+    return pa.record_batch([pa.array([net], pa.int32()), pa.array([block], pa.int32()), pa.array([data.tobytes()], pa.binary())], names=["net", "block", "data"])
 
 
 _PART = "net int, block int, data binary"
@@ -509,7 +509,9 @@ def train(labelled: DataFrame) -> ToxicityNet:
     """Fit on all ``text, toxic, lang`` rows; lang only teaches the guesser that picks a threshold."""
     prepare(labelled.sparkSession)
     with scope(labelled.sparkSession):
-        return _train(*_chunks(labelled))
+        model = _train(*_chunks(labelled))
+    trim()
+    return model
 
 
 def _train(chunks: DataFrame, shards: int) -> ToxicityNet:
@@ -528,7 +530,7 @@ def _train(chunks: DataFrame, shards: int) -> ToxicityNet:
             for i, c in total.items():
                 yield _part(0, i, c)
 
-        return {i: c for (_, i), c in _added(chunks.mapInArrow(run, _PART)).items()}
+        return {i: np.frombuffer(c, np.int64) for (_, i), c in _added(chunks.mapInArrow(run, _PART)).items()}
 
     def learn(states: list[_State], turn: int) -> None:
         shared = spark.sparkContext.broadcast(states)
@@ -561,15 +563,22 @@ def _train(chunks: DataFrame, shards: int) -> ToxicityNet:
                     yield _part(net, block, table[block : block + _BLOCK].ravel())
                 yield _part(net, -1, rests[net])
 
-        total = _added(lessons.mapInArrow(run, _PART))
-        for net, state in enumerate(states):
-            table, rest = state.arrays()
-            table = table.astype(np.float64)
-            for block in range(0, len(table), _BLOCK):
-                moved = total[net, block].reshape(-1, table.shape[1] + 1)
-                table[block : block + _BLOCK] += moved[:, :-1] / (_ONE * np.maximum(1, moved[:, -1:]))
-            state.set(table, rest + total[net, -1][:-1] / (_ONE * total[net, -1][-1]))
+        def moved_on(net: int, block: int, data: np.ndarray) -> np.ndarray:
+            """The next rows of a block of the table, which are shorter than the sums of their changes."""
+            if block < 0:
+                return data
+            state = shared.value[net]
+            own = np.concatenate([state.net.table[block : block + _BLOCK], state.sums[block : block + _BLOCK, None]], axis=1)
+            moved = data.reshape(-1, own.shape[1] + 1)
+            return (own.astype(np.float64) + moved[:, :-1] / (_ONE * np.maximum(1, moved[:, -1:]))).astype(np.float32)
+
+        total = _added(lessons.mapInArrow(run, _PART), moved_on)
         shared.destroy()
+        for net, state in enumerate(states):
+            moved = np.frombuffer(total.pop((net, -1)), np.int64)
+            rest = state.arrays()[1] + moved[:-1] / (_ONE * moved[-1])
+            blocks = [np.frombuffer(total.pop((net, block)), np.float32) for block in range(0, len(state.sums), _BLOCK)]
+            state.set(np.concatenate(blocks).reshape(len(state.sums), -1), rest)
 
     def judge(nets: list[ToxicityNet], guesser: WordGuesser) -> list[tuple]:
         shared = spark.sparkContext.broadcast((nets, guesser))

@@ -107,6 +107,24 @@ def test_shards_and_partitions(spark, monkeypatch):
     assert toxicity.train(few).scores(["foul words"])[0] >= 0.5 > toxicity.train(few).scores(["kind words"])[0]
 
 
+def test_driver_gets_averages_not_sums(spark, monkeypatch):
+    """What training collects at once is at most the networks' own numbers, not the wider sums of their changes."""
+    frame = type(spark.range(1))
+    most, collect = [0], frame.collect
+
+    def counted(self):
+        rows = collect(self)
+        most.append(sum(len(v) for r in rows for v in r if isinstance(v, bytes | bytearray)))
+        return rows
+
+    monkeypatch.setattr(frame, "collect", counted)
+    monkeypatch.setattr(toxicity, "SHARD_CHARS", 50_000)
+    df = spark.createDataFrame([(t, y, "xx") for t, y in invented(400)], "text string, toxic int, lang string")
+    assert toxicity.train(df).constant is None
+    per_net = 4 * (1 << toxicity.TABLE_BITS) * (toxicity.DIM + 1) + 100_000  # float32 rows and their sums of squares; all else is small
+    assert 0 < max(most) <= toxicity.FOLDS * per_net
+
+
 def test_threshold_of_counted_logits():
     z, toxic, every = np.array([-1.0, 0.0, 2.0, 3.0]), np.array([0, 1, 4, 5]), np.array([50, 9, 4, 5])
     assert toxicity._threshold(z, toxic, every, 0.0) == 1.0
