@@ -21,17 +21,21 @@ _IS_WORD[0x7B:0x80] = False
 _LOWER = np.arange(0x110000, dtype=np.uint32)
 _LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15 | 1
-_pow = np.ones(1, dtype=np.uint64)
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_KEPT = 1 << 20  #: powers that are kept for the next batch
+_pow = {_BASE: np.ones(1, dtype=np.uint64), _INVERSE: np.ones(1, dtype=np.uint64)}
 
 
-def _powers(n: int) -> np.ndarray:
-    global _pow
-    if len(_pow) < n:
-        steps = np.full(max(n, 2 * len(_pow)), _BASE, dtype=np.uint64)
-        steps[0] = 1
-        with np.errstate(over="ignore"):
-            _pow = np.cumprod(steps, dtype=np.uint64)
-    return _pow
+def _powers(base: int, n: int) -> np.ndarray:
+    if len(_pow[base]) >= n:
+        return _pow[base]
+    steps = np.full(max(n, min(_KEPT, 2 * len(_pow[base]))), base, dtype=np.uint64)
+    steps[0] = 1
+    with np.errstate(over="ignore"):
+        np.cumprod(steps, dtype=np.uint64, out=steps)
+    if len(steps) <= _KEPT:
+        _pow[base] = steps
+    return steps
 
 
 @dataclass
@@ -43,22 +47,25 @@ class Words:
     ends: np.ndarray
     bounds: np.ndarray  #: text i has the words bounds[i]:bounds[i + 1]
     hashes: np.ndarray
+    sums: np.ndarray  #: of the code points before each place, salted, times powers of the base
 
     def prefix_hashes(self, length: int) -> np.ndarray:
         """Hashes of the first ``length`` characters (or all) of each word."""
-        return _hash_spans(self.codes, self.starts, np.minimum(self.ends, self.starts + length))
+        return _hash_spans(self.sums, self.starts, np.minimum(self.ends, self.starts + length))
+
+
+def _sums(codes: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(codes) + 1, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        np.multiply(_SALT[codes], _powers(_BASE, len(codes))[: len(codes)], out=out[1:])
+        np.cumsum(out, out=out)
+    return out
 
 
-def _hash_spans(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    if not len(starts):
-        return np.zeros(0, dtype=np.uint64)
-    lengths = ends - starts
-    first = np.cumsum(lengths) - lengths
-    within = np.arange(int(lengths.sum()), dtype=np.int64) - np.repeat(first, lengths)
-    at = np.repeat(starts, lengths) + within
+def _hash_spans(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A span's code points times powers from its start on: modulo 2**64 the odd base has an inverse, which shifts the sums there."""
     with np.errstate(over="ignore"):
-        parts = _SALT[codes[at]] * _powers(int(lengths.max()))[within]
-        return splitmix(np.add.reduceat(parts, first) + lengths.astype(np.uint64))
+        return splitmix((sums[ends] - sums[starts]) * _powers(_INVERSE, len(sums))[starts] + (ends - starts).astype(np.uint64))
 
 
 def code_points(texts: list[str], sep: str = "\n") -> tuple[np.ndarray, np.ndarray]:
@@ -76,4 +83,5 @@ def split(texts: list[str]) -> Words:
     mask[1:-1] = _IS_WORD[codes]
     edge = np.diff(mask)
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    return Words(codes, starts, ends, np.searchsorted(starts, offsets), _hash_spans(codes, starts, ends))
+    sums = _sums(codes)
+    return Words(codes, starts, ends, np.searchsorted(starts, offsets), _hash_spans(sums, starts, ends), sums)
