@@ -28,6 +28,8 @@ _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__
 
 _BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 BATCH_ROWS = 250
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 2_000_000
 
 
 #: Allocator settings of Python workers: freed arrays go back to the system instead of staying with a long-lived worker.
@@ -54,8 +56,8 @@ def _ship(spark: SparkSession) -> None:
 def prepare(spark: SparkSession, lean: bool = True) -> None:
     """Let Python workers import this package, and bound their memory.
 
-    This sets the session's Arrow batch size (at most ``BATCH_ROWS``) and, in workers started later,
-    allocator settings.
+    This sets the session's Arrow batch size (at most ``BATCH_ROWS``, and no further row once it has
+    ``BATCH_BYTES``) and, in workers started later, allocator settings.
     """
     _ship(spark)
     env = spark.sparkContext.environment
@@ -63,6 +65,8 @@ def prepare(spark: SparkSession, lean: bool = True) -> None:
         env.update({k: v for k, v in _LEAN.items() if k not in env})
     if int(spark.conf.get(_BATCH_ROWS)) > BATCH_ROWS:  # whole texts are large rows
         spark.conf.set(_BATCH_ROWS, str(BATCH_ROWS))
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BATCH_BYTES)) > BATCH_BYTES:
+        spark.conf.set(_BATCH_BYTES, str(BATCH_BYTES))
 
 
 def trim() -> None:

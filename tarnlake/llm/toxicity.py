@@ -29,6 +29,7 @@ teaches no language; other columns are ignored; an empty table gives an empty ta
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from copy import deepcopy
 from dataclasses import dataclass
 
 import numpy as np
@@ -56,7 +57,7 @@ CHUNK_CHARS = 4_000_000  #: of texts in memory at once while training
 GUESS_CELLS = 23  #: bits: word places times languages of the guesser, at most
 FINE = 256  #: thresholds are multiples of half of 1 / FINE
 _ONE = float(1 << 30)  #: of the integers in which changes are added
-_BLOCK = 1 << 13  #: table rows that are added up together
+_BLOCK = 1 << 13  #: table rows that are added up together, and words that are hashed together
 _GATHER = 1 << 12  #: words whose vectors are gathered together
 
 
@@ -90,8 +91,12 @@ class Chunk:
         parts = [places(batch[at : at + 100]) for at in range(0, len(batch), 100)]  # bounds memory
         every = np.concatenate([r for r, _ in parts])
         bounds = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(b) for _, b in parts]))])
-        mixed = splitmix(every[:, :2].astype(np.uint64) @ np.array([1, 1 << 20], np.uint64))
-        mixed = splitmix(mixed ^ (every[:, 2:].astype(np.uint64) @ np.array([1, 1 << 20], np.uint64)))
+        del parts  # every has them too
+        mixed = np.empty(len(every), np.uint64)
+        for lo in range(0, len(every), _BLOCK):
+            own = every[lo : lo + _BLOCK].astype(np.uint64)
+            half = splitmix(own[:, :2] @ np.array([1, 1 << 20], np.uint64))
+            mixed[lo : lo + _BLOCK] = splitmix(half ^ (own[:, 2:] @ np.array([1, 1 << 20], np.uint64)))
         _, first, ids = np.unique(mixed, return_index=True, return_inverse=True)
         return cls(every[first], ids.astype(np.int32), bounds, np.asarray(labels, np.float32), langs)
 
@@ -281,10 +286,14 @@ class _State:
     def _dense(self) -> list[np.ndarray]:
         return [*self.net.filters, self.net.bias, self.net.out]
 
-    def arrays(self) -> tuple[np.ndarray, np.ndarray]:
-        """The table with its sums, and all other numbers."""
+    def block(self, at: int) -> np.ndarray:
+        """Rows of the table with their sums, ``_BLOCK`` from ``at`` on."""
+        return np.concatenate([self.net.table[at : at + _BLOCK], self.sums[at : at + _BLOCK, None]], axis=1)
+
+    def rest(self) -> np.ndarray:
+        """All numbers but the table and its sums."""
         rest = [*self._dense(), *self.squares, np.array([self.net.out_bias, self.bias_square])]
-        return np.concatenate([self.net.table, self.sums[:, None]], axis=1), np.concatenate([p.ravel() for p in rest]).astype(np.float64)
+        return np.concatenate([p.ravel() for p in rest]).astype(np.float64)
 
     def set(self, table: np.ndarray, rest: np.ndarray) -> _State:
         self.net.table, self.sums = np.ascontiguousarray(table[:, :-1], np.float32), np.array(table[:, -1], np.float32)
@@ -485,9 +494,45 @@ def _chunks(labelled: DataFrame) -> tuple[DataFrame, int]:
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, Chunk]]:
     for b in batches:
-        for r in (b.slice(i, 1).to_pylist()[0] for i in range(b.num_rows)):
-            words = np.frombuffer(r["words"], np.int32).reshape(-1, 4)
-            yield r["shard"], r["chunk"], Chunk(words, np.frombuffer(r["ids"], np.int32), np.frombuffer(r["bounds"], np.int64), np.array(r["toxic"], np.float32), r["lang"])
+        for i in range(b.num_rows):
+            shard, number, *data, toxic, lang = (b.column(k)[i] for k in range(b.num_columns))
+            words, ids, bounds = (np.frombuffer(x.as_buffer(), kind) for x, kind in zip(data, (np.int32, np.int32, np.int64), strict=True))  # in the batch's own memory
+            yield shard.as_py(), number.as_py(), Chunk(words.reshape(-1, 4), ids, bounds, np.array(toxic.as_py(), np.float32), lang.as_py())
+
+
+def _lessons(chunks: Iterator[tuple[int, int, Chunk]], states: list[_State], plan: _Plan, turn: int, one: bool) -> Iterator[pa.RecordBatch]:
+    """The networks' changes, as integers, by a task's chunks in round ``turn``; ``states`` stay as they are."""
+    tables, rests = {}, {}
+    state, current = None, None
+
+    def add() -> None:
+        net = plan.net(current % FOLDS)
+        before = states[net]
+        if net not in tables:
+            tables[net] = np.zeros((len(state.sums), DIM + 2), np.int64)
+        table = tables[net]
+        for at in range(0, len(table), _BLOCK):  # a block at a time, as 64-bit copies of a table are large
+            moved = np.rint((state.block(at).astype(np.float64) - before.block(at)) * _ONE).astype(np.int64)
+            table[at : at + _BLOCK, :-1] += moved
+            table[at : at + _BLOCK, -1] += moved.any(axis=1)
+        rests[net] = rests.get(net, 0) + np.append(np.rint((state.rest() - before.rest()) * _ONE).astype(np.int64), 1)
+
+    for shard, number, chunk in chunks:
+        net = plan.net(shard % FOLDS)
+        if current is None or (shard != current and not one):
+            if current is not None:
+                add()
+            state = None  # before the next one is made
+            state = deepcopy(states[net])
+        current = shard
+        state.learn(chunk, plan, turn, net, [shard % FOLDS, shard // FOLDS, number])
+    if current is not None:
+        add()
+    state = None
+    for net, table in tables.items():
+        for block in range(0, len(table), _BLOCK):
+            yield _part(net, block, table[block : block + _BLOCK].ravel())
+        yield _part(net, -1, rests[net])
 
 
 def _added(parts: DataFrame, finish: Callable[[int, int, np.ndarray], np.ndarray] = lambda net, block, data: data) -> dict[tuple[int, int], bytes]:
@@ -542,39 +587,13 @@ def _train(chunks: DataFrame, shards: int) -> ToxicityNet:
         shared = spark.sparkContext.broadcast(states)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            before = [s.arrays() for s in shared.value]
-            tables, rests = {}, {}
-            state, current = None, None
-
-            def add() -> None:
-                net = plan.net(current % FOLDS)
-                table, rest = state.arrays()
-                moved = np.rint((table.astype(np.float64) - before[net][0]) * _ONE).astype(np.int64)
-                touched = moved.any(axis=1).astype(np.int64)
-                tables[net] = tables.get(net, 0) + np.concatenate([moved, touched[:, None]], axis=1)
-                rests[net] = rests.get(net, 0) + np.append(np.rint((rest - before[net][1]) * _ONE).astype(np.int64), 1)
-
-            for shard, number, chunk in _read(batches):
-                net = plan.net(shard % FOLDS)
-                if current is None or (shard != current and not one):
-                    if current is not None:
-                        add()
-                    state = _State(ToxicityNet()).set(*before[net])
-                current = shard
-                state.learn(chunk, plan, turn, net, [shard % FOLDS, shard // FOLDS, number])
-            if current is not None:
-                add()
-            for net, table in tables.items():
-                for block in range(0, len(table), _BLOCK):
-                    yield _part(net, block, table[block : block + _BLOCK].ravel())
-                yield _part(net, -1, rests[net])
+            yield from _lessons(_read(batches), shared.value, plan, turn, one)
 
         def moved_on(net: int, block: int, data: np.ndarray) -> np.ndarray:
             """The next rows of a block of the table, which are shorter than the sums of their changes."""
             if block < 0:
                 return data
-            state = shared.value[net]
-            own = np.concatenate([state.net.table[block : block + _BLOCK], state.sums[block : block + _BLOCK, None]], axis=1)
+            own = shared.value[net].block(block)
             moved = data.reshape(-1, own.shape[1] + 1)
             return (own.astype(np.float64) + moved[:, :-1] / (_ONE * np.maximum(1, moved[:, -1:]))).astype(np.float32)
 
@@ -582,7 +601,7 @@ def _train(chunks: DataFrame, shards: int) -> ToxicityNet:
         shared.destroy()
         for net, state in enumerate(states):
             moved = np.frombuffer(total.pop((net, -1)), np.int64)
-            rest = state.arrays()[1] + moved[:-1] / (_ONE * moved[-1])
+            rest = state.rest() + moved[:-1] / (_ONE * moved[-1])
             blocks = [np.frombuffer(total.pop((net, block)), np.float32) for block in range(0, len(state.sums), _BLOCK)]
             state.set(np.concatenate(blocks).reshape(len(state.sums), -1), rest)
 

@@ -2,6 +2,7 @@
 
 import random
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -13,7 +14,7 @@ from tests.oracle import same
 
 import corpus_pipeline
 from tarnlake.llm import languages, toxicity, urls, words
-from tarnlake.llm.shared import read, splitmix
+from tarnlake.llm.shared import BATCH_BYTES, prepare, read, splitmix
 
 DATA = "/root/testdata/sf0.01"
 
@@ -126,6 +127,42 @@ def test_driver_gets_averages_not_sums(spark, monkeypatch):
     assert 0 < max(most) <= toxicity.FOLDS * per_net
 
 
+def test_batches_to_workers_are_bounded_in_bytes(spark):
+    prepare(spark)
+    rows = spark.range(0, 20, 1, 1).selectExpr("id", "cast(repeat('x', 600000) as binary) as data")
+
+    def run(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "size"])
+
+    got = rows.mapInArrow(run, "n long, size long").collect()
+    assert sum(r.n for r in got) == 20
+    assert max(r.size for r in got) <= BATCH_BYTES + 700_000  # one more row may follow before the bound is seen
+
+
+def test_training_copies_no_whole_tables():
+    """A worker holds the network that it teaches and the sums of changes, and builds chunks without a second copy of their words."""
+    texts, labels = zip(*invented(6000), strict=True)
+    toxicity.Chunk.of([*texts[:200]], [*labels[:200]], ["xx"] * 200)
+    tracemalloc.start()
+    try:
+        chunk = toxicity.Chunk.of([*texts], [*labels], ["xx"] * len(texts))
+        assert tracemalloc.get_traced_memory()[1] < 85 * len(chunk.ids)
+        small = toxicity.Chunk.of([*texts[:64]], [*labels[:64]], ["xx"] * 64)
+        plan = toxicity._Plan({(f, y, "xx"): 3000 for f in range(toxicity.FOLDS) for y in (0, 1)}, 2, epochs=1)
+        states = [toxicity._State(toxicity.ToxicityNet(i)) for i in range(toxicity.FOLDS)]
+        before = [s.block(0) for s in states]
+        tracemalloc.reset_peak()
+        base = tracemalloc.get_traced_memory()[0]
+        blocks = sum(1 for _ in toxicity._lessons(iter([(0, 0, small), (2, 0, small)]), states, plan, 0, False))
+        peak = tracemalloc.get_traced_memory()[1] - base
+    finally:
+        tracemalloc.stop()
+    rows = 1 << toxicity.TABLE_BITS
+    assert blocks == rows // toxicity._BLOCK + 1 and all((s.block(0) == b).all() for s, b in zip(states, before, strict=True))
+    assert peak < 4 * rows * (toxicity.DIM + 1) + 8 * rows * (toxicity.DIM + 2) + 6_000_000
+
+
 def test_words_are_hashed_from_one_pass(monkeypatch):
     """Every code point is salted once for the words and their prefixes, and each hash is the span's own polynomial."""
     salted = []
